@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import bpe, mixing, sharding
 from .common import table
 
 
@@ -16,5 +17,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op10_mixing": op10_mixing}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op5_sharding": op5_sharding, "op7_token_counts": op7_token_counts, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": mixing.MIX_SQL}

@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, sharding
+from . import bpe, language, mixing, quality, sharding
 from .common import table
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -21,9 +25,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op7_token_counts": op7_token_counts, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+QUERIES = {"op2_language": op2_language, "op5_sharding": op5_sharding, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": mixing.MIX_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, quality, sharding
+from . import bpe, language, mixing, pii, quality, sharding
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,5 +37,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_language": op2_language, "op5_sharding": op5_sharding, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+QUERIES = {"op2_language": op2_language, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 ORACLES = {"op10_mixing": mixing.MIX_SQL}

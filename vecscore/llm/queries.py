@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, pii, quality, sharding
+from . import bpe, language, lines, mixing, pii, quality, sharding
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_language": op2_language, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
-ORACLES = {"op10_mixing": mixing.MIX_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_language": op2_language, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+ORACLES = {"op1_line_dedup": lines.LINES_SQL, "op10_mixing": mixing.MIX_SQL}

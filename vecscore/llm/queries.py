@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, language, lines, mixing, pii, quality, sharding
+from . import bpe, jaccard, language, lines, mixing, neighbours, pii, quality, sharding
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_language": op2_language, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_language": op2_language, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_ann": op4_ann, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 ORACLES = {"op1_line_dedup": lines.LINES_SQL, "op10_mixing": mixing.MIX_SQL}

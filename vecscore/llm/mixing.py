@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: i
         "_full": F.coalesce(F.sum("_cap").over(before), F.lit(0.0)),
         "_rest": F.sum("_w").over(up.rowsBetween(0, Window.unboundedFollowing)),
     }).withColumn("_level", (F.col("_budget") - F.col("_full")) / F.col("_rest"))
-    # The water stands at the level of the first source that it does not fill.
-    level = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(every)
+    # The water stands at the level of the first source that it does not fill; further on levels only fall.
+    level = F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(every)
     return s.withColumn("_water", level).select("source", "source_size", F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_water") * F.col("_w"))).alias("target"))
 
 
@@ -98,7 +98,7 @@ u as (select *, 1.5::double * (sum(source_size) over ())::double as budget,
              coalesce(sum(cap) over (order by cap / w, source asc nulls last rows between unbounded preceding and 1 preceding), 0.0) as filled,
              sum(w) over (order by cap / w, source asc nulls last rows between current row and unbounded following) as rest from w),
 v as (select *, (budget - filled) / rest as level from u),
-t as (select source, source_size, w, cap, min(case when level * w <= cap then level end) over () as water from v),
+t as (select source, source_size, w, cap, max(case when level * w <= cap then level end) over () as water from v),
 g as (select source, source_size, case when water is null then cap else least(cap, water * w) end as target from t),
 e as (select d.doc_id, d.size, g.source_size, g.target,
              coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as before

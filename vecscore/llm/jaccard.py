@@ -383,3 +383,19 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     own = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = at.join(own, "label").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
     return out
+
+
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: the one of smallest (doc_id, node), nulls last.
+
+    Texts without a word are in no group: all such rows stay. Of rows equal in doc_id and text one stays.
+    """
+    found = join(docs, words, percent).where("n_shingles > 0")
+    named = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("node "), F.col("node").cast("string")))
+    first = found.groupBy(named.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node")).alias("_f"))
+    kept = cut(first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.node").alias("_kept")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), _node(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
+    some = rows.where("_worded").join(kept, (F.col("_node") == F.col("_kept")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    one = some.groupBy("_node", "_doc").agg(F.first("_row").alias("_row")).select("_row")
+    whole = one.unionByName(rows.where("not _worded").select("_row"))
+    return whole.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

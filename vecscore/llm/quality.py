@@ -113,17 +113,25 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
     return np.concatenate([p(good[k]) - p(raw[k]) for k in (slice(BUCKETS), slice(BUCKETS, None))])
 
 
-def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for each row of ``docs`` (doc_id, text).
+def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 1.0) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for each row of ``docs`` (doc_id, text)."""
+    return _rated(docs.select("text", "doc_id"), log_ratio(docs, labels, trusted_docs, smooth), threshold)
 
-    Columns of ``docs`` named in ``keep`` are passed through in front of these.
-    """
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, trusted_docs, smooth))
-    rows = docs.select("text", *[F.col(c) for c in keep or ("doc_id",)])
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 1.0) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they were."""
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rated = _rated(rows, log_ratio(docs, labels, trusted_docs, smooth), threshold).where("kept")
+    return rated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _rated(rows: DataFrame, ratio: np.ndarray, threshold: float) -> DataFrame:
+    """The other columns of ``rows`` and what the rules say of its first, the text."""
+    sent = rows.sparkSession.sparkContext.broadcast(ratio)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = ratio.value
+        at = sent.value
         for b in batches:
             counts, scores = [], []
             for text in b.column(0).to_pylist():

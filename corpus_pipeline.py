@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vecscore.llm import bpe, jaccard, lines, mixing, quality
-from vecscore.llm.common import stored, table
+from vecscore.llm.common import removed, shared_path, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        path = shared_path(spark, "stage-" + name.split()[0].lower())
+        docs = stored(stage(spark, docs, sf_dir), path)
+        removed(spark, *before)
+        before = [path]
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
@@ -36,13 +36,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """As :func:`cut`, but as a compressed columnar table, for wide or large intermediates."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def cut_and_count(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """As :func:`cut`, and how many rows there are (that meet the condition), counted on the way."""
+    seen = Observation()
+    one = F.lit(1) if condition is None else F.when(condition, F.lit(1))
+    made = cut(df.observe(seen, F.count(one).alias("n")))
+    return made, seen.get["n"]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """As :func:`cut`, but as a compressed columnar table at ``path``, for wide or large intermediates."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, cut_and_count
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(seen, "b").groupBy("a").agg(F.min("_l").alias("_near"))
         low = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("_was"), F.least("label", "_near").alias("_low"))
         jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("_far"))
-        new = cut(low.join(jump, F.col("_low") == F.col("_n"), "left").select("node", "_was", F.least("_low", "_far").alias("label")))
+        new = low.join(jump, F.col("_low") == F.col("_n"), "left").select("node", "_was", F.least("_low", "_far").alias("label"))
+        new, moved = cut_and_count(new, F.col("label") != F.col("_was"))
         labels = new.select("node", "label")
-        if new.where("label <> _was").isEmpty():
+        if not moved:
             return labels

@@ -32,7 +32,7 @@ result. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, cut_and_count, removed, shared_path, stored
 from .graph import components
 
 #: Subset hashes in one range, at about one for every 16 bytes of text.
@@ -249,44 +249,77 @@ def _meet(table: pa.Table) -> pa.Table:
     return _found([(0, x, centre, None, None), (1, h, member, None, None), (2, node2, g, None, None), (3, doc, node, n, null.astype(bool))])
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Bits, two or more for each token and a power of two of them: how often a token's bucket was met, modulo 2.
+
+    A token that only one of two sets holds flips one bit, so bits that differ are never more than tokens that do.
+    """
+    n = 1 << max(6, (2 * len(tokens) - 1).bit_length() if len(tokens) else 6)
+    met = np.bincount((_mixed(tokens) & _U(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(met.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(p: bytes, q: bytes) -> int:
+    """Least number of tokens by which two sets differ, by their parities; the longer one is folded to the shorter."""
+    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    while len(p) != len(q):
+        if len(p) < len(q):
+            p, q = q, p
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 class Checker:
-    """Exact checks of candidate pairs on stored sets."""
+    """Checks of candidate pairs: parities, an eighth of a byte for each bit, refute most unlinked pairs; sets decide the rest."""
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent = sets, percent
 
+    def _meet(self, pairs: DataFrame, column: str) -> DataFrame:
+        """(a, b, _p, _q) with ``column`` of both; a set without a pair does not move where the pairs can be broadcast."""
+        one, two = (self.sets.select(F.col("node").alias(n), *[F.col(c).alias(x) for c, x in ((column, v), ("n", m))]) for n, v, m in (("a", "_p", "_m"), ("b", "_q", "_n")))
+        if pairs.count() <= BROADCAST_IDS:
+            two = two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+            pairs = F.broadcast(pairs)
+        # Sizes that cannot link are seen here, before anything is compared.
+        near = 100 * F.least("_m", "_n") >= self.percent * F.greatest("_m", "_n")
+        return one.join(pairs, "a").join(two, "b").where(near).select("a", "b", "_p", "_q", "_m", "_n")
+
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+        """Those of the pairs (a, b) that link. The node of the two that has more pairs had best be b."""
         percent = self.percent
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+        def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                keep = [(100 + percent) * _differ(p, q) <= (100 - percent) * (m + n) for p, q, m, n in zip(*(c.to_pylist() for c in x.columns[2:]))]
+                yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
                 keep = []
-                for p, q in zip(b.column(2), b.column(3)):
+                for p, q in zip(x.column(2), x.column(3)):
                     p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                    if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                        keep.append(False)
-                        continue
                     at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                     same = int((q[at] == p).sum())
                     keep.append(100 * same >= percent * (len(p) + len(q) - same))
-                yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        one, two = (self.sets.select(F.col("node").alias(n), F.col("tokens").alias(t)) for n, t in (("a", "_p"), ("b", "_q")))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "_p", "_q").mapInArrow(run, "a bigint, b bigint")
+        some = cut(self._meet(pairs, "parity").mapInArrow(rough, "a bigint, b bigint"))
+        return self._meet(some, "tokens").mapInArrow(exact, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, words: int, needed: DataFrame) -> DataFrame:
-    """(node, tokens) of the needed nodes; tokens are the sorted hashes as bytes."""
+def _sets(docs: DataFrame, words: int, needed: DataFrame, path: str) -> DataFrame:
+    """(node, n, parity, tokens) of the needed nodes; tokens are the sorted hashes as bytes."""
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
     texts = docs.select(_node(), "text").join(needed, F.col("_node") == F.col("node")).groupBy("node").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "tokens"])
+            got = [shingles(t, words) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in got], pa.int64()), pa.array([parity(t) for t in got], pa.binary()), pa.array([t.tobytes() for t in got], pa.binary())], ["node", "n", "parity", "tokens"])
 
-    return stored(texts.mapInArrow(run, "node bigint, tokens binary"), "sets")
+    return stored(texts.mapInArrow(run, "node bigint, n bigint, parity binary, tokens binary"), path)
 
 
 class Merger:
@@ -298,8 +331,8 @@ class Merger:
 
     def add(self, pairs: DataFrame) -> None:
         """Check the pairs (a, b) and merge the labels of those that link."""
-        links = cut(self.check.links(pairs))
-        if links.isEmpty():
+        links, n = cut_and_count(self.check.links(pairs))
+        if not n:
             return
         at = [self.labels.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("a", "_a"), ("b", "_b"))]
         merged = components(links.join(at[0], "a").join(at[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))).withColumnRenamed("label", "_new").withColumnRenamed("node", "_old")
@@ -314,15 +347,15 @@ class Merger:
             split = sizes.groupBy("hash").agg(
                 F.max(F.struct("_n", "label")).alias("_top"), F.min(F.struct("_n", "label", "_least")).alias("_low"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds")
             ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
-            open_ = cut(at.join(split, "hash"))
-            if open_.isEmpty() or (rounds is not None and done >= rounds):
+            open_, n = cut_and_count(at.join(split, "hash"))
+            if not n or (rounds is not None and done >= rounds):
                 return open_.select("hash", "node")
             done += 1
             outside = open_.where("_few and label <> _main").select("hash", F.col("node").alias("_u"), F.col("label").alias("_lu"))
-            few = open_.where("_few").select("hash", "node", "label").join(outside, "hash").where("label <> _lu").select(F.col("node").alias("a"), F.col("_u").alias("b"))
+            few = open_.where("_few").join(outside, "hash").where("label <> _lu and (label = _main or node < _u)").select(F.col("node").alias("a"), F.col("_u").alias("b"))
             centre = open_.where("not _few and node = _centre").select("hash", F.col("label").alias("_lc"))
             many = open_.where("not _few").join(centre, "hash").where("label <> _lc").select(F.col("node").alias("a"), F.col("_centre").alias("b"))
-            self.add(few.union(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            self.add(cut(few.union(many).distinct()))
             groups = cut(open_.where("not _few and node <> _centre").select("hash", "node"))
 
 
@@ -339,7 +372,7 @@ def _second_index(sets: DataFrame, common: DataFrame, sparse: DataFrame, bands:
                 keep.append(empty + hot_ > bands.spare(g))
             yield b.select([0, 1, 3]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(asked.join(sets, "node").select("node", "g", "_hot", "tokens").mapInArrow(run, "node bigint, g bigint, tokens binary"))
+    return asked.join(sets, "node").select("node", "g", "_hot", "tokens").mapInArrow(run, "node bigint, g bigint, tokens binary")
 
 
 def _neighbourhoods(rescued: DataFrame, bands: Bands, seed: int) -> DataFrame:
@@ -361,27 +394,31 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     bands = Bands(percent)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(8, size // 16 // RANGE + 1)
-    found = stored(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND), "found")
-    pairs = found.where("kind = 0").select("a", "b").distinct()
+    spark = docs.sparkSession
+    paths = [shared_path(spark, name) for name in ("found", "sets", "joined")]
+    found = stored(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND), paths[0])
+    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
     groups = found.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node"))
     sparse = found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("g")).distinct()
     rows = found.where("kind = 3").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("node"))
     nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(sparse.select("node")).distinct())
-    sets = _sets(docs, words, nodes)
+    sets = _sets(docs, words, nodes, paths[1])
     merger = Merger(nodes, Checker(sets, percent))
     merger.add(pairs)
     common = merger.work_off(groups, ROUNDS)
-    rescued = _second_index(sets, common, sparse, bands)
+    rescued, n = cut_and_count(_second_index(sets, common, sparse, bands))
     seed = 1
-    while not rescued.isEmpty():
+    while n:
         near = _neighbourhoods(rescued, bands, seed)
         shared = near.where("hash is not null").select("hash", "node")
         merger.work_off(shared, None)
-        rescued = cut(near.where("hash is null").select("node", "g").join(rescued, ["node", "g"]).select("node", "g", "tokens"))
+        rescued, n = cut_and_count(near.where("hash is null").select("node", "g").join(rescued, ["node", "g"]).select("node", "g", "tokens"))
         seed += 1
     at = rows.join(merger.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = at.join(own, "label").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    out = stored(out, paths[2])
+    removed(spark, *paths[:2])
     return out
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import cut, removed, shared_path, stored
 
 WINDOW = 3
 _HAS_WORD = r"[^\\x20\\x09-\\x0D]"
@@ -38,11 +38,14 @@ def covered(docs: DataFrame) -> DataFrame:
     own = own.where(F.size("_at") >= WINDOW).withColumn("_h", F.expr("transform(_at, i -> struct(xxhash64(_l[i]) as a, xxhash64(7L, _l[i]) as b))"))
     both = [", ".join(f"_h[j + {k}].{x}" for k in range(WINDOW)) for x in "ab"]
     own = own.select("_id", "_hash", F.explode(F.expr(f"transform(sequence(0, size(_h) - {WINDOW}), j -> struct(j as pos, xxhash64({both[0]}) as a, xxhash64({both[1]}) as b))")).alias("w"))
-    windows = stored(own.select("_id", "_hash", F.col("w.pos").alias("_at"), F.col("w.a").alias("_a"), F.col("w.b").alias("_b")), "windows")
+    path = shared_path(docs.sparkSession, "windows")
+    windows = stored(own.select("_id", "_hash", F.col("w.pos").alias("_at"), F.col("w.a").alias("_a"), F.col("w.b").alias("_b")), path)
     place = F.struct("_id", "_hash", "_at")
     first = windows.groupBy("_a", "_b").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_a").alias("_fa"), F.col("_b").alias("_fb"), "_first")
     later = windows.join(first, (F.col("_a") == F.col("_fa")) & (F.col("_b") == F.col("_fb"))).where(~place.eqNullSafe(F.col("_first")))
-    return later.groupBy("_id", "_hash").agg(F.collect_set("_at").alias("_pos"))
+    found = cut(later.groupBy("_id", "_hash").agg(F.collect_set("_at").alias("_pos")))
+    removed(docs.sparkSession, path)
+    return found
 
 
 def _rebuilt(docs: DataFrame) -> DataFrame:

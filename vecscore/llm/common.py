@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,12 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_and_count(df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
-    """As :func:`cut`, and how many rows there are (that meet the condition), counted on the way."""
-    seen = Observation()
-    one = F.lit(1) if condition is None else F.when(condition, F.lit(1))
-    made = cut(df.observe(seen, F.count(one).alias("n")))
-    return made, seen.get["n"]
+def tidied(spark: SparkSession) -> None:
+    """Let the driver forget the rounds that are over: Spark deletes shuffles, broadcasts and checkpoints it has no more use for."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -51,7 +50,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, path: str) -> DataFrame:
     """As :func:`cut`, but as a compressed columnar table at ``path``, for wide or large intermediates."""
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, *paths: str) -> None:
@@ -61,6 +60,30 @@ def removed(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+class Scratch:
+    """Tables of a loop, in the shared folder until :meth:`close`.
+
+    A loop must not checkpoint: Spark takes a checkpoint's size from the estimate of the plan behind it, and estimates of
+    joins are products, so after some rounds they are numbers of millions of digits. A table's size is that of its files.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, shared_path(spark, "scratch"), 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return stored(df, f"{self.path}/{self.n}")
+
+    def cut_and_count(self, df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
+        """The table, and how many of its rows meet the condition, counted on the way."""
+        seen = Observation()
+        one = F.lit(1) if condition is None else F.when(condition, F.lit(1))
+        return self.cut(df.observe(seen, F.count(one).alias("n"))), seen.get["n"]
+
+    def close(self) -> None:
+        removed(self.spark, self.path)
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -17,8 +17,10 @@ are cut again by another hash.
 Candidates are not all pairs of those that share a subset. The group's smallest member is compared with all
 others, links are merged to components, and only what is still in different components goes on: members outside the
 largest component, if few, are compared with all others; if many, one from the smallest component is, for
-some rounds. A subset still split after them is common; in the second index there are rounds until none is split. So work
-per round is linear in the group, no pair is emitted within a component, and no link between components is lost.
+some rounds. A subset still split after them is common. So work per round is linear in the group, no pair is emitted
+within a component, and no link between components is lost. What the second index leaves split are documents of
+which many are almost linked; they are compared in blocks, parity bits against parity bits, and only what these
+cannot refute is emitted. That part is quadratic in their number, a block of 1024 by 1024 at a time.
 
 Documents of equal text are one node from the start. Subset hashes travel packed by hash range, ranges hold a bounded
 number each, by the input's size. Candidates are checked exactly on the sets of shingle hashes (64 bits), made once for the documents
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, cut_and_count, removed, shared_path, stored
+from .common import Scratch, shared_path, stored, tidied
 from .graph import components
 
 #: Subset hashes in one range, at about one for every 16 bytes of text.
@@ -48,8 +50,10 @@ RANGE = 500_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members outside the largest component up to which a group is finished at once; rounds for larger ones.
-FEW, ROUNDS = 8, 3
+FEW, ROUNDS = 32, 2
 _FLUSH = 1_500_000
+#: Documents in a block of those compared bit by bit.
+BLOCK = 1024
 _U = np.uint64
 
 
@@ -250,11 +254,11 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Bits, two or more for each token and a power of two of them: how often a token's bucket was met, modulo 2.
+    """Bits, four or more for each token and a power of two of them: how often a token's bucket was met, modulo 2.
 
     A token that only one of two sets holds flips one bit, so bits that differ are never more than tokens that do.
     """
-    n = 1 << max(6, (2 * len(tokens) - 1).bit_length() if len(tokens) else 6)
+    n = 1 << max(6, (4 * len(tokens) - 1).bit_length() if len(tokens) else 6)
     met = np.bincount((_mixed(tokens) & _U(n - 1)).astype(np.int64), minlength=n) & 1
     return np.packbits(met.astype(np.uint8), bitorder="little").tobytes()
 
@@ -272,13 +276,13 @@ def _differ(p: bytes, q: bytes) -> int:
 class Checker:
     """Checks of candidate pairs: parities, an eighth of a byte for each bit, refute most unlinked pairs; sets decide the rest."""
 
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent = sets, percent
+    def __init__(self, sets: DataFrame, percent: int, scratch: Scratch):
+        self.sets, self.percent, self.scratch = sets, percent, scratch
 
-    def _meet(self, pairs: DataFrame, column: str) -> DataFrame:
-        """(a, b, _p, _q) with ``column`` of both; a set without a pair does not move where the pairs can be broadcast."""
+    def _meet(self, pairs: DataFrame, column: str, few: bool) -> DataFrame:
+        """(a, b, _p, _q) with ``column`` of both; ``few`` pairs are broadcast, so that sets without one do not move."""
         one, two = (self.sets.select(F.col("node").alias(n), *[F.col(c).alias(x) for c, x in ((column, v), ("n", m))]) for n, v, m in (("a", "_p", "_m"), ("b", "_q", "_n")))
-        if pairs.count() <= BROADCAST_IDS:
+        if few:
             two = two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
             pairs = F.broadcast(pairs)
         # Sizes that cannot link are seen here, before anything is compared.
@@ -304,11 +308,11 @@ class Checker:
                     keep.append(100 * same >= percent * (len(p) + len(q) - same))
                 yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        some = cut(self._meet(pairs, "parity").mapInArrow(rough, "a bigint, b bigint"))
-        return self._meet(some, "tokens").mapInArrow(exact, "a bigint, b bigint")
+        some, n = self.scratch.cut_and_count(self._meet(pairs, "parity", False).mapInArrow(rough, "a bigint, b bigint"))
+        return self._meet(some, "tokens", n <= BROADCAST_IDS).mapInArrow(exact, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, words: int, needed: DataFrame, path: str) -> DataFrame:
+def _sets(docs: DataFrame, words: int, needed: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, n, parity, tokens) of the needed nodes; tokens are the sorted hashes as bytes."""
     if needed.count() <= BROADCAST_IDS:
         needed = F.broadcast(needed)
@@ -319,26 +323,26 @@ def _sets(docs: DataFrame, words: int, needed: DataFrame, path: str) -> DataFram
             got = [shingles(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in got], pa.int64()), pa.array([parity(t) for t in got], pa.binary()), pa.array([t.tobytes() for t in got], pa.binary())], ["node", "n", "parity", "tokens"])
 
-    return stored(texts.mapInArrow(run, "node bigint, n bigint, parity binary, tokens binary"), path)
+    return scratch.cut(texts.mapInArrow(run, "node bigint, n bigint, parity binary, tokens binary"))
 
 
 class Merger:
     """Labels of nodes; the groups that share a subset are worked off against it."""
 
     def __init__(self, nodes: DataFrame, check: Checker):
-        self.check = check
-        self.labels = cut(nodes.select("node", F.col("node").alias("label")))
+        self.check, self.scratch = check, check.scratch
+        self.labels = self.scratch.cut(nodes.select("node", F.col("node").alias("label")))
 
     def add(self, pairs: DataFrame) -> None:
         """Check the pairs (a, b) and merge the labels of those that link."""
-        links, n = cut_and_count(self.check.links(pairs))
+        links, n = self.scratch.cut_and_count(self.check.links(pairs))
         if not n:
             return
         at = [self.labels.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("a", "_a"), ("b", "_b"))]
-        merged = components(links.join(at[0], "a").join(at[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))).withColumnRenamed("label", "_new").withColumnRenamed("node", "_old")
-        self.labels = cut(self.labels.join(merged, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")))
+        merged = components(links.join(at[0], "a").join(at[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), self.scratch).withColumnRenamed("label", "_new").withColumnRenamed("node", "_old")
+        self.labels = self.scratch.cut(self.labels.join(merged, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")))
 
-    def work_off(self, groups: DataFrame, rounds: int | None) -> DataFrame:
+    def work_off(self, groups: DataFrame, rounds: int) -> DataFrame:
         """Compare members of each group (hash, node) across labels; what is still split after ``rounds`` comes back."""
         done = 0
         while True:
@@ -347,16 +351,47 @@ class Merger:
             split = sizes.groupBy("hash").agg(
                 F.max(F.struct("_n", "label")).alias("_top"), F.min(F.struct("_n", "label", "_least")).alias("_low"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds")
             ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
-            open_, n = cut_and_count(at.join(split, "hash"))
-            if not n or (rounds is not None and done >= rounds):
+            open_, n = self.scratch.cut_and_count(at.join(split, "hash"))
+            if not n or done >= rounds:
                 return open_.select("hash", "node")
             done += 1
+            tidied(groups.sparkSession)
             outside = open_.where("_few and label <> _main").select("hash", F.col("node").alias("_u"), F.col("label").alias("_lu"))
             few = open_.where("_few").join(outside, "hash").where("label <> _lu and (label = _main or node < _u)").select(F.col("node").alias("a"), F.col("_u").alias("b"))
             centre = open_.where("not _few and node = _centre").select("hash", F.col("label").alias("_lc"))
             many = open_.where("not _few").join(centre, "hash").where("label <> _lc").select(F.col("node").alias("a"), F.col("_centre").alias("b"))
-            self.add(cut(few.union(many).distinct()))
-            groups = cut(open_.where("not _few and node <> _centre").select("hash", "node"))
+            self.add(self.scratch.cut(few.union(many).distinct()))
+            groups = self.scratch.cut(open_.where("not _few and node <> _centre").select("hash", "node"))
+
+
+def _in_blocks(left: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of different labels in one band that parities cannot refute; ``left`` is (node, g)."""
+    rows = scratch.cut(left.distinct().join(labels, "node").join(sets.select("node", "n", "parity"), "node"))
+    per = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    own = rows.join(F.broadcast(per), "g").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("g", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "label", "n", "parity")
+
+    def run(key: tuple[pa.Scalar, ...], x: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key[1:])
+        at = np.asarray(x["_own"])
+        node, label, n = (np.asarray(x[c]) for c in ("node", "label", "n"))
+        bits = [np.frombuffer(p, np.uint64) for p in x["parity"].to_pylist()]
+        width = min(map(len, bits))
+        for k, p in enumerate(bits):
+            while len(p) > width:
+                p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+            bits[k] = p
+        bits, one, two = np.stack(bits), np.flatnonzero(at == i), np.flatnonzero(at == j)
+        found: list[list[np.ndarray]] = [[], []]
+        for k in one:
+            rest = two[two > k] if i == j else two
+            differ = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
+            near = (label[rest] != label[k]) & ((100 + percent) * differ <= (100 - percent) * (n[rest] + n[k])) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
+            found[0].append(np.full(int(near.sum()), node[k]))
+            found[1].append(node[rest][near])
+        return pa.table([pa.array(np.concatenate(f) if f else np.empty(0, np.int64), pa.int64()) for f in found], names=["a", "b"])
+
+    return scratch.cut(dealt.groupBy("g", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct())
 
 
 def _second_index(sets: DataFrame, common: DataFrame, sparse: DataFrame, bands: Bands) -> DataFrame:
@@ -386,7 +421,7 @@ def _neighbourhoods(rescued: DataFrame, bands: Bands, seed: int) -> DataFrame:
                 values = pa.array(found.view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([values, pa.nulls(int(again), pa.int64())]), pa.array([node] * (len(found) + again), pa.int64()), pa.array([g] * (len(found) + again), pa.int64())], ["hash", "node", "g"])
 
-    return cut(rescued.mapInArrow(run, "hash bigint, node bigint, g bigint"))
+    return rescued.mapInArrow(run, "hash bigint, node bigint, g bigint")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -395,30 +430,32 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(8, size // 16 // RANGE + 1)
     spark = docs.sparkSession
-    paths = [shared_path(spark, name) for name in ("found", "sets", "joined")]
-    found = stored(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND), paths[0])
-    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
+    scratch = Scratch(spark)
+    found = scratch.cut(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND))
+    pairs = scratch.cut(found.where("kind = 0").select("a", "b").distinct())
     groups = found.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node"))
     sparse = found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("g")).distinct()
     rows = found.where("kind = 3").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("node"))
-    nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(sparse.select("node")).distinct())
-    sets = _sets(docs, words, nodes, paths[1])
-    merger = Merger(nodes, Checker(sets, percent))
+    nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(sparse.select("node")).distinct())
+    sets = _sets(docs, words, nodes, scratch)
+    merger = Merger(nodes, Checker(sets, percent, scratch))
+    tidied(spark)
     merger.add(pairs)
     common = merger.work_off(groups, ROUNDS)
-    rescued, n = cut_and_count(_second_index(sets, common, sparse, bands))
+    rescued, n = scratch.cut_and_count(_second_index(sets, common, sparse, bands))
     seed = 1
     while n:
-        near = _neighbourhoods(rescued, bands, seed)
+        near = scratch.cut(_neighbourhoods(rescued, bands, seed))
         shared = near.where("hash is not null").select("hash", "node")
-        merger.work_off(shared, None)
-        rescued, n = cut_and_count(near.where("hash is null").select("node", "g").join(rescued, ["node", "g"]).select("node", "g", "tokens"))
+        split = merger.work_off(shared, ROUNDS).select("node", F.expr("hash & 255L").alias("g"))
+        merger.add(_in_blocks(split, sets, merger.labels, percent, scratch))
+        rescued, n = scratch.cut_and_count(near.where("hash is null").select("node", "g").join(rescued, ["node", "g"]).select("node", "g", "tokens"))
         seed += 1
     at = rows.join(merger.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = at.join(own, "label").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
-    out = stored(out, paths[2])
-    removed(spark, *paths[:2])
+    out = stored(out, shared_path(spark, "joined"))
+    scratch.close()
     return out
 
 
@@ -430,7 +467,7 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = join(docs, words, percent).where("n_shingles > 0")
     named = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("node "), F.col("node").cast("string")))
     first = found.groupBy(named.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node")).alias("_f"))
-    kept = cut(first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.node").alias("_kept")))
+    kept = first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.node").alias("_kept"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), _node(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
     some = rows.where("_worded").join(kept, (F.col("_node") == F.col("_kept")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
     one = some.groupBy("_node", "_doc").agg(F.first("_row").alias("_row")).select("_row")

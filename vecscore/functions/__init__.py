@@ -1 +1 @@
-"""See the package docstring."""
+"""Column expressions: distances, clamping, quantisation, features, the pseudo-random sequence."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""DataFrame operators: search, clustering, layout, scoring, evaluation."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Whole plans: building an index, adapting tables, the registered queries."""

@@ -1 +1 @@
-"""See the package docstring."""
+"""Schemas and readers of labelled records, payloads, constants and stored indexes."""

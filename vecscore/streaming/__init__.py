@@ -1 +1 @@
-"""See the package docstring."""
+"""Scoring of a stream of payloads."""

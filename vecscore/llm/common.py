@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Slim rows that one task may hold.
+ONE_TASK = 500_000
 #: Copies of one row that a single task writes out.
 COPIES_PER_TASK = 100_000
 
@@ -70,15 +72,20 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, shared_path(spark, "scratch"), 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        return stored(df, f"{self.path}/{self.n}")
+    def cut(self, df: DataFrame, slim: bool = True) -> DataFrame:
+        return self.cut_and_count(df, slim=slim)[0]
+
+    def cut_and_count(self, df: DataFrame, condition: Column | None = None, slim: bool = True) -> tuple[DataFrame, int]:
+        """The table, and how many of its rows meet the condition, counted on the way.
 
-    def cut_and_count(self, df: DataFrame, condition: Column | None = None) -> tuple[DataFrame, int]:
-        """The table, and how many of its rows meet the condition, counted on the way."""
-        seen = Observation()
+        A ``slim`` table (a few numbers a row) of at most ONE_TASK rows comes in one partition: joins and groups of such
+        tables then need no shuffle, which for some thousand rows is all that they would cost.
+        """
+        self.n += 1
+        path, seen = f"{self.path}/{self.n}", Observation()
         one = F.lit(1) if condition is None else F.when(condition, F.lit(1))
-        return self.cut(df.observe(seen, F.count(one).alias("n"))), seen.get["n"]
+        made = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(one).alias("n")), path)
+        return made.coalesce(1) if slim and seen.get["rows"] <= ONE_TASK else made, seen.get["n"]
 
     def close(self) -> None:
         removed(self.spark, self.path)

@@ -5,26 +5,28 @@ bands, each reaching from lo to lo / t, so a partner of a size in band g is in g
 smaller size is in band g, sets differ in at most H_g tokens. The token universe is cut by hash into
 m_g = H_g + 1 + x_g segments: a linked pair agrees on the whole subset in at least 1 + x_g of them. Each
 document therefore indexes the hash of each of its subsets, for its own band and the one below, and documents
-that share one are candidates.
+that share one are candidates. Documents of equal text are one node from the start.
+
+The allocation is by cost, band by band. Small sets (up to WIDE differences) take half as many segments, each worth a
+difference of one: all subsets and their one-deletion neighbourhoods, a row for each token, which is little there
+and tells far more than subsets of three or four tokens would. Larger sets take one row a segment.
 
 x_g pays for segments that tell nothing: empty ones, and *common* subsets that many unlike documents share.
-A pair is lost only if both documents have more than x_g of these. The allocation decides by cost: such documents,
-and only they, are indexed again with half as many segments, twice the size, each worth a difference
-of one: their subsets and all their one-deletion neighbourhoods (a subset costs one row, a neighbourhood one
-for each token). There a segment tells nothing only if it holds fewer than two tokens; documents with more than x'_g of those
-are cut again by another hash.
+A pair is lost only if both documents have more than x_g of these. Such documents, and only they, go on, again by
+cost: of a band with up to IN_BLOCKS of them, each block of 1024 is compared with each other, parity bits against parity bits,
+and only what these cannot refute is emitted; a band with more gets a second index, of neighbourhoods, and only
+what that leaves split is compared in blocks (a segment with fewer than two tokens tells nothing there; documents
+with more than x'_g of those are cut again by another hash). All of it is exact; the blocks are quadratic in the number of such documents.
 
 Candidates are not all pairs of those that share a subset. The group's smallest member is compared with all
 others, links are merged to components, and only what is still in different components goes on: members outside the
-largest component, if few, are compared with all others; if many, one from the smallest component is, for
-some rounds. A subset still split after them is common. So work per round is linear in the group, no pair is emitted
-within a component, and no link between components is lost. What the second index leaves split are documents of
-which many are almost linked; they are compared in blocks, parity bits against parity bits, and only what these
-cannot refute is emitted. That part is quadratic in their number, a block of 1024 by 1024 at a time.
+largest component, if few, are compared with all others; if many, one from the smallest component is, in ROUNDS
+rounds. A subset still split after them is common. So work per round is linear in the group, no pair is emitted
+within a component, and no link between components is lost.
 
-Documents of equal text are one node from the start. Subset hashes travel packed by hash range, ranges hold a bounded
-number each, by the input's size. Candidates are checked exactly on the sets of shingle hashes (64 bits), made once for the documents
-that take part in any candidate.
+Subset hashes travel packed by hash range; ranges hold a bounded number each, by the input's size. Candidates are
+refuted by parity bits where possible and checked exactly on the sets of shingle hashes (64 bits) otherwise; sets are
+made once, for the documents that take part in any candidate.
 
 Words are ASCII-space separated, A-Z lower-cased; a document of fewer than WORDS words has its whole sequence as
 its one shingle. Nulls: a null text, or one without words, has no shingles and no links (component: its own
@@ -50,8 +52,12 @@ RANGE = 500_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members outside the largest component up to which a group is finished at once; rounds for larger ones.
-FEW, ROUNDS = 32, 2
-_FLUSH = 1_500_000
+FEW, ROUNDS = 8, 1
+_FLUSH = 400_000
+#: Differences up to which a band's first index takes one-deletion neighbourhoods: sets of about twenty tokens.
+WIDE = 3
+#: Documents of a band with too little to tell that are compared in blocks; a second index is cheaper for more.
+IN_BLOCKS = 100_000
 #: Documents in a block of those compared bit by bit.
 BLOCK = 1024
 _U = np.uint64
@@ -99,8 +105,12 @@ class Bands:
         if g and n <= self.partner[g - 1]:
             yield g - 1
 
+    def wide(self, g: int) -> bool:
+        """Whether the first index takes neighbourhoods: sets are small, so they cost few rows and tell much more."""
+        return 0 < self.differ[g] <= WIDE
+
     def spare(self, g: int) -> int:
-        return self.differ[g] // 20 + 2 if self.differ[g] >= 8 else 0
+        return self.spare_wide(g) if self.wide(g) else self.differ[g] // 20 + 2 if self.differ[g] >= 8 else 0
 
     def segments(self, g: int) -> int:
         return self.differ[g] + 1 + self.spare(g)
@@ -128,10 +138,13 @@ def _sums(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(tokens + _U(0x9E3779B97F4A7C15)), dtype=np.uint64)))
 
 
-def subset_hashes(tokens: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band, empty segments, hashes of the others) for the bands of a set."""
+def index_hashes(tokens: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(band, segments that tell nothing, hashes of the others) for the bands of a set."""
     sums = _sums(tokens)
     for g in bands.of(len(tokens)):
+        if bands.wide(g):
+            yield g, *neighbourhood_hashes(tokens, bands, g, 0)
+            continue
         m = bands.segments(g)
         at, first, end = _subsets(tokens, m)
         yield g, m - len(at), _signed(sums[end] - sums[first], at, g)
@@ -161,8 +174,9 @@ def _index(docs: DataFrame, words: int, bands: Bands, ranges: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             out: list[tuple[int, int, bytes]] = []
+            every = np.concatenate(hashes or [np.empty(0, np.uint64)])
             for kind, keys, payload in (
-                (0, np.concatenate(hashes or [np.empty(0, np.uint64)]) >> _U(8), [np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(nodes or [np.empty(0, np.int64)]).view(np.uint64)]),
+                (0, every >> _U(8), [every, np.concatenate(nodes or [np.empty(0, np.int64)]).view(np.uint64)]),
                 (2, np.array([x[0] for x in sparse], np.int64).view(np.uint64), [np.array([x[i] for x in sparse], np.int64).view(np.uint64) for i in range(2)]),
                 (3, np.arange(len(rows), dtype=np.uint64), [np.array([x[i] for x in rows], np.int64).view(np.uint64) for i in range(4)]),
             ):
@@ -182,7 +196,7 @@ def _index(docs: DataFrame, words: int, bands: Bands, ranges: int) -> DataFrame:
                 if not len(tokens) or node in seen:
                     continue
                 seen.add(node)
-                for g, empty, found in subset_hashes(tokens, bands):
+                for g, empty, found in index_hashes(tokens, bands):
                     hashes.append(found)
                     nodes.append(np.full(len(found), node, np.int64))
                     held += len(found)
@@ -289,8 +303,8 @@ class Checker:
         near = 100 * F.least("_m", "_n") >= self.percent * F.greatest("_m", "_n")
         return one.join(pairs, "a").join(two, "b").where(near).select("a", "b", "_p", "_q", "_m", "_n")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link. The node of the two that has more pairs had best be b."""
+    def links(self, pairs: DataFrame, n: int) -> DataFrame:
+        """Those of the ``n`` pairs (a, b) that link. The node of the two that has more pairs had best be b."""
         percent = self.percent
 
         def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +322,7 @@ class Checker:
                     keep.append(100 * same >= percent * (len(p) + len(q) - same))
                 yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        some, n = self.scratch.cut_and_count(self._meet(pairs, "parity", False).mapInArrow(rough, "a bigint, b bigint"))
+        some, n = self.scratch.cut_and_count(self._meet(pairs, "parity", n <= BROADCAST_IDS).mapInArrow(rough, "a bigint, b bigint"))
         return self._meet(some, "tokens", n <= BROADCAST_IDS).mapInArrow(exact, "a bigint, b bigint")
 
 
@@ -323,7 +337,7 @@ def _sets(docs: DataFrame, words: int, needed: DataFrame, scratch: Scratch) -> D
             got = [shingles(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in got], pa.int64()), pa.array([parity(t) for t in got], pa.binary()), pa.array([t.tobytes() for t in got], pa.binary())], ["node", "n", "parity", "tokens"])
 
-    return scratch.cut(texts.mapInArrow(run, "node bigint, n bigint, parity binary, tokens binary"))
+    return scratch.cut(texts.mapInArrow(run, "node bigint, n bigint, parity binary, tokens binary"), slim=False)
 
 
 class Merger:
@@ -333,9 +347,11 @@ class Merger:
         self.check, self.scratch = check, check.scratch
         self.labels = self.scratch.cut(nodes.select("node", F.col("node").alias("label")))
 
-    def add(self, pairs: DataFrame) -> None:
-        """Check the pairs (a, b) and merge the labels of those that link."""
-        links, n = self.scratch.cut_and_count(self.check.links(pairs))
+    def add(self, pairs: DataFrame, n: int) -> None:
+        """Check the ``n`` pairs (a, b) and merge the labels of those that link."""
+        if not n:
+            return
+        links, n = self.scratch.cut_and_count(self.check.links(pairs, n))
         if not n:
             return
         at = [self.labels.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("a", "_a"), ("b", "_b"))]
@@ -350,7 +366,7 @@ class Merger:
             sizes = at.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_least"))
             split = sizes.groupBy("hash").agg(
                 F.max(F.struct("_n", "label")).alias("_top"), F.min(F.struct("_n", "label", "_least")).alias("_low"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds")
-            ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
+            ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), F.col("_low.label").alias("_lc"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
             open_, n = self.scratch.cut_and_count(at.join(split, "hash"))
             if not n or done >= rounds:
                 return open_.select("hash", "node")
@@ -358,15 +374,14 @@ class Merger:
             tidied(groups.sparkSession)
             outside = open_.where("_few and label <> _main").select("hash", F.col("node").alias("_u"), F.col("label").alias("_lu"))
             few = open_.where("_few").join(outside, "hash").where("label <> _lu and (label = _main or node < _u)").select(F.col("node").alias("a"), F.col("_u").alias("b"))
-            centre = open_.where("not _few and node = _centre").select("hash", F.col("label").alias("_lc"))
-            many = open_.where("not _few").join(centre, "hash").where("label <> _lc").select(F.col("node").alias("a"), F.col("_centre").alias("b"))
-            self.add(self.scratch.cut(few.union(many).distinct()))
+            many = open_.where("not _few and label <> _lc").select(F.col("node").alias("a"), F.col("_centre").alias("b"))
+            self.add(*self.scratch.cut_and_count(few.union(many).distinct()))
             groups = self.scratch.cut(open_.where("not _few and node <> _centre").select("hash", "node"))
 
 
-def _in_blocks(left: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+def _in_blocks(left: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, int]:
     """(a, b) of different labels in one band that parities cannot refute; ``left`` is (node, g)."""
-    rows = scratch.cut(left.distinct().join(labels, "node").join(sets.select("node", "n", "parity"), "node"))
+    rows = scratch.cut(left.distinct().join(labels, "node").join(sets.select("node", "n", "parity"), "node"), slim=False)
     per = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     own = rows.join(F.broadcast(per), "g").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("g", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "label", "n", "parity")
@@ -391,7 +406,7 @@ def _in_blocks(left: DataFrame, sets: DataFrame, labels: DataFrame, percent: int
             found[1].append(node[rest][near])
         return pa.table([pa.array(np.concatenate(f) if f else np.empty(0, np.int64), pa.int64()) for f in found], names=["a", "b"])
 
-    return scratch.cut(dealt.groupBy("g", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct())
+    return scratch.cut_and_count(dealt.groupBy("g", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct())
 
 
 def _second_index(sets: DataFrame, common: DataFrame, sparse: DataFrame, bands: Bands) -> DataFrame:
@@ -403,7 +418,7 @@ def _second_index(sets: DataFrame, common: DataFrame, sparse: DataFrame, bands:
         for b in batches:
             keep = []
             for g, hot_, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                empty = {k: e for k, e, _ in subset_hashes(np.frombuffer(raw, np.uint64), bands)}[g]
+                empty = {k: e for k, e, _ in index_hashes(np.frombuffer(raw, np.uint64), bands)}[g]
                 keep.append(empty + hot_ > bands.spare(g))
             yield b.select([0, 1, 3]).filter(pa.array(keep, pa.bool_()))
 
@@ -431,25 +446,28 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     ranges = max(8, size // 16 // RANGE + 1)
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    found = scratch.cut(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND))
-    pairs = scratch.cut(found.where("kind = 0").select("a", "b").distinct())
-    groups = found.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node"))
+    found = scratch.cut(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND), slim=False)
+    pairs, n_pairs = scratch.cut_and_count(found.where("kind = 0").select("a", "b").distinct())
+    groups = scratch.cut(found.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node")))
     sparse = found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("g")).distinct()
     rows = found.where("kind = 3").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("node"))
     nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(sparse.select("node")).distinct())
     sets = _sets(docs, words, nodes, scratch)
     merger = Merger(nodes, Checker(sets, percent, scratch))
     tidied(spark)
-    merger.add(pairs)
+    merger.add(pairs, n_pairs)
     common = merger.work_off(groups, ROUNDS)
-    rescued, n = scratch.cut_and_count(_second_index(sets, common, sparse, bands))
+    rescued, n = scratch.cut_and_count(_second_index(sets, common, sparse, bands), slim=False)
     seed = 1
     while n:
-        near = scratch.cut(_neighbourhoods(rescued, bands, seed))
-        shared = near.where("hash is not null").select("hash", "node")
+        large = rescued.groupBy("g").agg((F.count(F.lit(1)) > IN_BLOCKS).alias("_large"))
+        dealt = rescued.join(F.broadcast(large), "g")
+        merger.add(*_in_blocks(dealt.where("not _large").select("node", "g"), sets, merger.labels, percent, scratch))
+        near = scratch.cut(_neighbourhoods(dealt.where("_large").select("node", "g", "tokens"), bands, seed))
+        shared = scratch.cut(near.where("hash is not null").select("hash", "node"))
         split = merger.work_off(shared, ROUNDS).select("node", F.expr("hash & 255L").alias("g"))
-        merger.add(_in_blocks(split, sets, merger.labels, percent, scratch))
-        rescued, n = scratch.cut_and_count(near.where("hash is null").select("node", "g").join(rescued, ["node", "g"]).select("node", "g", "tokens"))
+        merger.add(*_in_blocks(split, sets, merger.labels, percent, scratch))
+        rescued, n = scratch.cut_and_count(near.where("hash is null").select("node", "g").join(rescued, ["node", "g"]).select("node", "g", "tokens"), slim=False)
         seed += 1
     at = rows.join(merger.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))

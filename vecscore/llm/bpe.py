@@ -24,7 +24,9 @@ import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import json
+import operator
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,14 +34,15 @@ import regex
 from pyspark.sql import DataFrame
 
 WINDOW = 1 << 17
-#: Entries that a memo of merged pre-tokens may hold; a full memo is emptied.
-MEMO = 200_000
+#: Entries that each of the two generations of a memo of merged pre-tokens may hold.
+MEMO = 300_000
 #: The pre-tokenizer's pattern (fixed value of the byte-level BPE format).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A pre-token ends before each match: a letter, digit or black run is over there, whatever follows.
 _ENDS = r"(?<=\p{L})\P{L}|(?<=\p{N})\P{N}|(?<=\S)\s"
 _LAST_END, _NEXT_END = regex.compile("(?r)" + _ENDS), regex.compile(_ENDS)
 _NONE = 1 << 62
+_IDS, _DECIMAL = operator.itemgetter(0), operator.itemgetter(1)
 
 
 def byte_symbols() -> list[str]:
@@ -209,23 +212,29 @@ def vocabulary(spec: str) -> Vocabulary:
 
 
 class _Memo(dict):
-    """What merging a pre-token gives, remembered up to MEMO entries."""
+    """What merging a pre-token gives. A full generation becomes the old one; what is met again moves to the new."""
 
     def __init__(self, make, known=()):
         super().__init__(known)
-        self.make, self.known = make, dict(known)
+        self.make, self.known, self.old = make, dict(known), {}
 
     def __missing__(self, piece: str):
         if len(self) > MEMO + len(self.known):
+            self.old = dict(self)
             self.clear()
             self.update(self.known)
-        self[piece] = made = self.make(piece)
+        made = self.old.get(piece)
+        self[piece] = made = self.make(piece) if made is None else made
         return made
 
 
 def _long(v: Vocabulary, piece: str) -> list[int]:
+    """Ids of one pre-token, through the transducer; what it would only hold until the end is merged at once."""
+    raw = piece.encode()
+    if len(raw) < 2 * v.look:
+        return v.merge(raw)
     t, ids = Transducer(v), []
-    for some in t.feed(piece.encode()):
+    for some in t.feed(raw):
         ids += some
     return ids + t.flush()
 
@@ -234,15 +243,18 @@ def count(v: Vocabulary, text: str, memo: _Memo) -> int:
     return sum(1 if isinstance(w, int) else sum(map(memo.__getitem__, w)) for w in v.windows(text))
 
 
+@functools.lru_cache(maxsize=2)
 def counter(v: Vocabulary) -> _Memo:
+    """Memo of pre-token -> how many tokens it is; one for all tasks of a process."""
     return _Memo(lambda piece: len(_long(v, piece)), dict.fromkeys(v.whole, 1))
 
 
+@functools.lru_cache(maxsize=2)
 def encoder(v: Vocabulary) -> _Memo:
-    """Memo of pre-token -> (its ids, the same in decimal with commas)."""
+    """Memo of pre-token -> (its ids, the same in decimal with commas); one for all tasks of a process."""
 
-    def make(piece: str) -> tuple[list[int], str]:
-        ids = _long(v, piece)
+    def make(piece: str) -> tuple[tuple[int, ...], str]:
+        ids = tuple(_long(v, piece))
         return ids, ",".join(map(str, ids))
 
     return _Memo(make)
@@ -255,11 +267,9 @@ def round_trip(v: Vocabulary, text: str, memo: _Memo) -> tuple[int, str, str]:
         if isinstance(w, int):
             got, said = [w], str(w)
         else:
-            got, parts = [], []
-            for ids, decimal in map(memo.__getitem__, w):
-                got += ids
-                parts.append(decimal)
-            said = ",".join(parts)
+            found = list(map(memo.__getitem__, w))
+            got = list(itertools.chain.from_iterable(map(_IDS, found)))
+            said = ",".join(map(_DECIMAL, found))
         if got:
             ids_hash.update((("," if n else "") + said).encode())
             text_hash.update(decoder.feed(got).encode())

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if where:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(where)
         return where
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()

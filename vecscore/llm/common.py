@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if where:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(where)
         return where
-    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
@@ -45,6 +46,12 @@ def tidied(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts stay small: rows to a batch, and bytes where texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

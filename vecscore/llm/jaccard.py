@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_path, stored, tidied
+from .common import Scratch, shared_path, small_batches, stored, tidied
 from .graph import components
 
 #: Subset hashes in one range, at about one for every 16 bytes of text.
@@ -445,6 +445,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(8, size // 16 // RANGE + 1)
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     found = scratch.cut(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND), slim=False)
     pairs, n_pairs = scratch.cut_and_count(found.where("kind = 0").select("a", "b").distinct())
@@ -491,3 +492,19 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     one = some.groupBy("_node", "_doc").agg(F.first("_row").alias("_row")).select("_row")
     whole = one.unionByName(rows.where("not _worded").select("_row"))
     return whole.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+#: The same by all pairs that share a shingle; for small tables.
+JOIN_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, unnest(case when len(ws) >= 4 then list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+         when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as shingle from w),
+n as (select w.doc_id, count(s.shingle) as n from w left join s on s.doc_id = w.doc_id group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as same from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * same >= 85 * (a.n + b.n - same)),
+e as (select x, y from l union all select y, x from l),
+r(doc_id, c) as (select doc_id, doc_id from n union select r.doc_id, e.y from r join e on e.x = r.c)
+select n.doc_id, cast(n.n as bigint) as n_shingles, m.c as component_id from n join (select doc_id, min(c) as c from r group by 1) m on m.doc_id = n.doc_id
+"""

@@ -4,8 +4,9 @@ Byte n-grams of NGRAM bytes are hashed to BUCKETS; word n-grams are reduced to t
 a run of equal words (RUNS of them). Each kind has two multinomials: one counted over every document (raw),
 one over trusted ones, ids that ``labels`` gives quality 1. The score of a document is the mean over its byte
 n-grams of log p_trusted - log p_raw, plus the same mean over its words, so length does not matter; a document is
-kept if it passes the base rules and its score is at least ``threshold``. The threshold is fixed, so the verdict depends on the document and the two
-multinomials only.
+kept if it passes the base rules and its score is at least ``threshold``. The trusted multinomial is drawn towards the
+raw one by ``smooth`` n-grams of it, so a small trusted corpus says little about what it has not seen. The threshold
+is fixed, so the verdict depends on the document and the two multinomials only.
 
 The raw counts cover all documents. The trusted side may stop at ``trusted_docs`` ids (those of smallest hash),
 which makes it a table of known size to broadcast; text is never shuffled. Tasks send BUCKETS sums at most.
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 NGRAM = 3
 BITS = 14
 BUCKETS = 1 << BITS
@@ -83,6 +86,7 @@ def base(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, int, int,
 
 def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: float) -> np.ndarray:
     """log p_trusted - log p_raw of each bucket, then of each place in a run."""
+    small_batches(docs.sparkSession)
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(trusted_docs).withColumn("_trusted", F.lit(1))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left").select(F.col("_trusted").isNotNull().alias("trusted"), "text")
@@ -107,43 +111,49 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
     if not good.any():
         return np.zeros(BUCKETS + RUNS)
 
-    def p(x: np.ndarray) -> np.ndarray:
-        return np.log((x + smooth) / (x.sum() + smooth * len(x)))
+    def ratio(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        p = (raw + 1) / (raw.sum() + len(raw))
+        return np.log((good + smooth * p) / (good.sum() + smooth)) - np.log(p)
 
-    return np.concatenate([p(good[k]) - p(raw[k]) for k in (slice(BUCKETS), slice(BUCKETS, None))])
+    return np.concatenate([ratio(good[k], raw[k]) for k in (slice(BUCKETS), slice(BUCKETS, None))])
 
 
-def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 1.0) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 5_000.0) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for each row of ``docs`` (doc_id, text)."""
-    return _rated(docs.select("text", "doc_id"), log_ratio(docs, labels, trusted_docs, smooth), threshold)
+    sent = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, trusted_docs, smooth))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, failed, kept, score = verdicts(b.column(1).to_pylist(), sent.value, threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, n.T.copy()), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *names, "base_failed", "kept", "score"])
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 1.0) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they were."""
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rated = _rated(rows, log_ratio(docs, labels, trusted_docs, smooth), threshold).where("kept")
-    return rated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, kept boolean, score double")
 
 
-def _rated(rows: DataFrame, ratio: np.ndarray, threshold: float) -> DataFrame:
-    """The other columns of ``rows`` and what the rules say of its first, the text."""
-    sent = rows.sparkSession.sparkContext.broadcast(ratio)
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 5_000.0) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they were."""
+    sent = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, trusted_docs, smooth))
+    at = docs.columns.index("text")
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = sent.value
         for b in batches:
-            counts, scores = [], []
-            for text in b.column(0).to_pylist():
-                raw = (text or "").encode()
-                words = raw.split()
-                counts.append(base(text or "", raw, words))
-                g = grams(raw)
-                scores.append(float((at[g].mean() if len(g) else 0.0) + (at[BUCKETS + runs(words)].mean() if words else 0.0)))
-            n = np.array(counts, np.int64).reshape(-1, 5)
-            failed = (n[:, 0] < LEAST_WORDS) | (100 * n[:, 4] > REPEAT_PERCENT * n[:, 0])
-            kept = ~failed & (np.array(scores) >= threshold)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *map(pa.array, n.T.copy()), pa.array(failed), pa.array(kept), pa.array(scores, pa.float64())], [*b.schema.names[1:], *names, "base_failed", "kept", "score"])
-
-    passed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{passed}, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, kept boolean, score double")
+            yield b.filter(pa.array(verdicts(b.column(at).to_pylist(), sent.value, threshold)[2]))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+
+
+def verdicts(texts: list[str | None], ratio: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(base counts, whether base rules fail, whether kept, score) of each text."""
+    counts, scores = [], []
+    for text in texts:
+        raw = (text or "").encode()
+        words = raw.split()
+        counts.append(base(text or "", raw, words))
+        g = grams(raw)
+        scores.append(float((ratio[g].mean() if len(g) else 0.0) + (ratio[BUCKETS + runs(words)].mean() if words else 0.0)))
+    n, score = np.array(counts, np.int64).reshape(-1, 5), np.array(scores, np.float64)
+    failed = (n[:, 0] < LEAST_WORDS) | (100 * n[:, 4] > REPEAT_PERCENT * n[:, 0])
+    return n, failed, ~failed & (score >= threshold), score

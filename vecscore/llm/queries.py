@@ -49,5 +49,20 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_language": op2_language, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_ann": op4_ann, "op5_sharding": op5_sharding, "op6_pii": op6_pii, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
-ORACLES = {"op1_line_dedup": lines.LINES_SQL, "op10_mixing": mixing.MIX_SQL}
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_language": op2_language,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_ann": op4_ann,
+    "op5_sharding": op5_sharding,
+    "op6_pii": op6_pii,
+    "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
+    "op9_bpe": op9_bpe,
+    "op10_mixing": op10_mixing,
+}
+ORACLES = {
+    "op1_line_dedup": lines.LINES_SQL,
+    "op3_ngram_jaccard": jaccard.JOIN_SQL,
+    "op10_mixing": mixing.MIX_SQL,
+}

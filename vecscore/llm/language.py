@@ -9,7 +9,8 @@ the others are put together from the tables of lower orders. The language of the
 the first in code-point order. The score is the winner's posterior under equal priors.
 
 Fitted on a bounded sample: of the documents that may be learned from (crc32 of the id's text mod 5 is not 0;
-text and lang not null), per language the ``sample_docs`` of smallest hash, those over ``long_bytes`` after all others.
+text and lang not null), per language the ``sample_docs`` of
+smallest hash, those over ``long_bytes`` after all others, for the 1000 most frequent languages.
 The tables are bounded by that sample; they are the one thing sent to tasks. Every whole text is scored, in
 blocks of BLOCK bytes.
 
@@ -54,11 +55,11 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
-        raws = [np.frombuffer(b"".join(_PAD + t.lower().encode() for t in texts[x]) or _PAD, np.uint8).astype(np.uint64) for x in self.langs]
+        raws = [[np.frombuffer(_PAD + t.lower().encode(), np.uint8).astype(np.uint64) for t in texts[x]] for x in self.langs]
         self.grams, self.price, self.contexts, self.escape = [], [], [], []
         n_langs = len(self.langs)
         for k in range(ORDER + 1):  # k bytes of context
-            counted = [np.unique(_windows(r, k + 1), return_counts=True) for r in raws]
+            counted = [np.unique(np.concatenate([_windows(r, k + 1) for r in own]), return_counts=True) for own in raws]
             grams = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.empty(0, np.uint64)
             ctx = np.unique(grams >> np.uint64(8))
             escape = np.zeros((len(ctx), n_langs))
@@ -155,10 +156,22 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, told)], [float(s) if ok else 0.0 for s, ok in zip(score, told)]
 
 
-def fit(docs: DataFrame, sample_docs: int = 300, long_bytes: int = 20_000) -> Model:
+def fit(docs: DataFrame, sample_docs: int = 300, long_bytes: int = 20_000, languages: int = 1000) -> Model:
+    """The model of the ``languages`` most frequent languages, on at most ``sample_docs`` documents of each.
+
+    Counts come first; from them follows the share of a language's hash range that holds about four times the
+    sample, so no more than that is ever ranked, however many documents a language has.
+    """
     learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0))
-    by = Window.partitionBy("lang").orderBy(F.octet_length("text") > long_bytes, F.xxhash64("doc_id"), "doc_id")
-    chosen = learn.select("lang", "doc_id", "text").withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= sample_docs)
+    learn = learn.select("lang", "doc_id", "text", (F.octet_length("text") > long_bytes).alias("_long"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)).alias("_at"))
+    sizes = learn.groupBy("lang").agg(F.count_if(~F.col("_long")).alias("short"), F.count_if("_long").alias("long")).orderBy(F.desc(F.col("short") + F.col("long")), "lang").limit(languages)
+    cuts = []
+    for lang, short, long in sizes.collect():
+        cuts.append((lang, False, min(1.0, 4 * sample_docs / max(short, 1))))
+        cuts.append((lang, True, min(1.0, 4 * max(0, sample_docs - short) / max(long, 1))))
+    shares = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, _long boolean, _share double"))
+    by = Window.partitionBy("lang").orderBy("_long", "_at", "doc_id")
+    chosen = learn.join(shares, ["lang", "_long"]).where("_at < _share").withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= sample_docs)
     texts: dict[str, list[str]] = {}
     for lang, text in chosen.select("lang", "text").orderBy("lang", "_rank").toLocalIterator():
         texts.setdefault(lang, []).append(text)

@@ -77,11 +77,13 @@ def test_like_brute_force(spark, seed, words, percent):
     assert got(J.join(docs(spark, rows), words, percent)) == brute(rows, words, percent)
 
 
-def test_common_subsets_and_almost_linked_groups(spark, monkeypatch):
+@pytest.mark.parametrize("in_blocks", [0, 100_000])
+def test_common_subsets_and_almost_linked_groups(spark, monkeypatch, in_blocks):
     """Every path: subsets common to unlike documents, the second index, blocks."""
     monkeypatch.setattr(J, "FEW", 1)
     monkeypatch.setattr(J, "ROUNDS", 1)
     monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "IN_BLOCKS", in_blocks)
     r = random.Random(8)
     base = [f"b{k}" for k in range(120)]
     rows = []

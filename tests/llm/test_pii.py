@@ -3,6 +3,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecscore.llm import pii
 
@@ -63,6 +64,31 @@ def test_chosen_spans(spark):
     assert [got[i] for i in range(len(rows))] == [*hits.values(), *[""] * len(clean)]
 
 
+def test_numbers_next_to_numbers(spark):
+    cases = {
+        "see 7536784127813050 4845168114407329 ok": ["card:4:20", "card:21:37"],
+        "see 2353820953013749 4550997810720808 ok": ["card:21:37"],
+        "see 4111 1111 1111 1111 5500 0000 0000 0004 ok": ["card:4:23", "card:24:43"],
+        "at +1 (826) 555-4081 190.137.223.204 then": ["ip:21:36", "phone:3:20"],
+        "at +1 (843) 555-7672 170.106.47.218 then": ["ip:21:35", "phone:3:20"],
+        "call (555) 123-4567 555-987-6542 now": ["phone:5:19", "phone:20:32"],
+        "rows 12 345 6789 01 2345 678 90 of them": [],
+    }
+    got = {r.doc_id: r.spans for r in pii.digest(docs(spark, list(enumerate(cases)))).collect()}
+    assert [got[i] for i in range(len(cases))] == [",".join(x) for x in cases.values()]
+
+
+def test_proposals_overlap_and_spans_do_not(spark):
+    t = "555 123 4567 555 123 4568 " * 2000
+    df = docs(spark, [(1, "a 12 345 6789 0123 b"), (2, t)]).withColumn("t", F.col("text"))
+    p = pii._proposals(df.where("doc_id = 1")).first()
+    assert {(x.start, x.end) for x in p.try_phone} == {(2, 13), (2, 18), (5, 13), (5, 18), (9, 18)} and [(x.start, x.end) for x in p.try_card] == [(2, 18)]
+    spans = sorted(tuple(map(int, s.split(":")[1:])) for s in pii.digest(docs(spark, [(2, "call " + t)])).first().spans.split(",") if s)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    v = "array(" + ", ".join(f"named_struct('start', {a}L, 'end', {b}L, 'score', {c}D)" for a, b, c in [(0, 10, 1), (8, 18, 2), (16, 26, 3), (16, 20, 3), (30, 40, 1)]) + ")"
+    assert [(x.k, x.start, x.end) for x in spark.range(1).select(F.expr(pii._chosen(v, 3)).alias("x")).first().x] == [(3, 0, 10), (3, 16, 26), (3, 30, 40)]
+
+
 def test_trees_rank_held_out_sentences(spark):
     for bias, trees, least in pii._fitted(spark, 5).values():
         assert len(trees) == pii.TREES and least is not None

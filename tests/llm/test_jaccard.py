@@ -108,6 +108,13 @@ def test_rows(spark):
     assert J.join(docs(spark, [])).collect() == [] and J.keep_first(docs(spark, [])).collect() == []
 
 
+def test_groups_are_components_not_ids(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(40)) for c in "pqr")
+    rows = [(5, one), (6, one + " x"), (5, two), (7, two + " x"), (None, three), (None, three + " x")]
+    kept = sorted((str(r.doc_id), r.text[0]) for r in J.keep_first(docs(spark, rows)).collect())
+    assert kept == [("5", "p"), ("5", "q"), ("None", "r")]
+
+
 def test_bands_cover_all_pairs():
     for percent in (80, 85):
         b = J.Bands(percent)

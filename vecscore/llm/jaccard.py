@@ -440,7 +440,7 @@ def _neighbourhoods(rescued: DataFrame, bands: Bands, seed: int) -> DataFrame:
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, node, label) for each row of ``docs`` (doc_id, text)."""
     bands = Bands(percent)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(8, size // 16 // RANGE + 1)
@@ -472,7 +472,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         seed += 1
     at = rows.join(merger.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     own = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = at.join(own, "label").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+    out = at.join(own, "label").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "label")
     out = stored(out, shared_path(spark, "joined"))
     scratch.close()
     return out
@@ -484,8 +484,7 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Texts without a word are in no group: all such rows stay. Of rows equal in doc_id and text one stays.
     """
     found = join(docs, words, percent).where("n_shingles > 0")
-    named = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("node "), F.col("node").cast("string")))
-    first = found.groupBy(named.alias("_group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node")).alias("_f"))
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node")).alias("_f"))
     kept = first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.node").alias("_kept"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), _node(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
     some = rows.where("_worded").join(kept, (F.col("_node") == F.col("_kept")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")

@@ -18,7 +18,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).drop("node")
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("node", "label")
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,13 @@ def test_ratio(spark):
     assert got[: Q.BUCKETS] == pytest.approx(want) and len(got) == Q.BUCKETS + Q.RUNS
 
 
+def test_all_trusted_documents_count(spark):
+    rows = [(i, f"text {i} of {'abcdefghij'[i]} words") for i in range(10)] + [(None, "no id"), (3, "again three")]
+    lab = labels(spark, [(i, 1, 0) for i in range(7)] + [(None, 1, 0), (8, 0, 0), (3, 1, 0)])
+    got = [Q.log_ratio(docs(spark, rows), lab, most, 5.0) for most in (100, 7, 6, 2)]
+    assert all((x == got[0]).all() for x in got) and got[0].any()
+
+
 def test_labelled_tables(spark):
     sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):

@@ -8,8 +8,9 @@ kept if it passes the base rules and its score is at least ``threshold``. The tr
 raw one by ``smooth`` n-grams of it, so a small trusted corpus says little about what it has not seen. The threshold
 is fixed, so the verdict depends on the document and the two multinomials only.
 
-The raw counts cover all documents. The trusted side may stop at ``trusted_docs`` ids (those of smallest hash),
-which makes it a table of known size to broadcast; text is never shuffled. Tasks send BUCKETS sums at most.
+Both sides count all their documents. Up to ``trusted_docs`` trusted ids are broadcast, and no text is shuffled;
+of more, the trusted side is a join by id that Spark plans, which may shuffle the texts once. Tasks send BUCKETS sums
+at most.
 
 Nulls: a null text is an empty one (0 words, rejected); a null id is never trusted; without trusted documents
 every score is 0 and the base rules decide alone. Equal rows get equal results, an empty table an empty one. Other
@@ -88,20 +89,26 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
     """log p_trusted - log p_raw of each bucket, then of each place in a run."""
     small_batches(docs.sparkSession)
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(trusted_docs).withColumn("_trusted", F.lit(1))
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left").select(F.col("_trusted").isNotNull().alias("trusted"), "text")
+    rows = docs.select("doc_id", "text")
+    if ids.limit(trusted_docs + 1).count() <= trusted_docs:
+        sent = F.broadcast(ids.withColumn("_trusted", F.lit(1)))
+        rows = rows.join(sent, F.col("doc_id") == F.col("_id"), "left").select(F.lit(True).alias("raw"), F.col("_trusted").isNotNull().alias("trusted"), "text")
+    else:
+        good = rows.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+        rows = rows.select(F.lit(True).alias("raw"), F.lit(False).alias("trusted"), "text").unionByName(good.select(F.lit(False).alias("raw"), F.lit(True).alias("trusted"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS + RUNS), np.int64)
         for b in batches:
-            for trusted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for raw_side, trusted, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text:
                     raw = text.encode()
                     n = np.concatenate((np.bincount(grams(raw), minlength=BUCKETS), np.bincount(runs(raw.split()), minlength=RUNS)))
-                    sums[0] += n
+                    if raw_side:
+                        sums[0] += n
                     if trusted:
                         sums[1] += n
-        at = np.flatnonzero(sums[0])
+        at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "raw", "trusted"])
 
     counts = rows.mapInArrow(run, "bucket int, raw bigint, trusted bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted"))

@@ -79,6 +79,14 @@ def test_memo_is_bounded(v, monkeypatch):
     assert bpe.round_trip(v, t, memo)[0] == sum(len(bpe._long(v, p)) for p in bpe.PATTERN.findall(t))
 
 
+def test_long_pieces_are_streamed(v, library):
+    memo = bpe.encoder.__wrapped__(v)
+    t = "x " + "ab" * 9000 + " y"
+    want = library.encode(t, add_special_tokens=False).ids
+    assert bpe.round_trip(v, t, memo)[:2] == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
+    assert memo and max(map(len, memo)) < 2 * v.look
+
+
 def test_operators(spark, library):
     rows = [(1, "Hello world"), (2, None), (3, ""), (None, "x <|endoftext|>"), (1, "Hello world"), (5, "é" * 3000)]
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in rows], SCHEMA)

@@ -260,20 +260,32 @@ def encoder(v: Vocabulary) -> _Memo:
     return _Memo(make)
 
 
+def _pieces(v: Vocabulary, w: list[str], memo: _Memo) -> Iterator[tuple[list[int], str]]:
+    """(ids, the same in decimal with commas) of a window's pre-tokens; long ones as they come out of the transducer."""
+    least = 2 * v.look
+    if 4 * max(map(len, w), default=0) < least:
+        found = list(map(memo.__getitem__, w))
+        yield list(itertools.chain.from_iterable(map(_IDS, found))), ",".join(map(_DECIMAL, found))
+        return
+    for piece in w:
+        raw = piece.encode()
+        if len(raw) < least:
+            yield memo[piece]
+            continue
+        t = Transducer(v)
+        for ids in itertools.chain(t.feed(raw), map(Transducer.flush, [t])):
+            yield ids, ",".join(map(str, ids))
+
+
 def round_trip(v: Vocabulary, text: str, memo: _Memo) -> tuple[int, str, str]:
     """(number of ids, sha256 of the ids, sha256 of the text they decode to), in memory of one window."""
     ids_hash, text_hash, decoder, n = hashlib.sha256(), hashlib.sha256(), Decoder(v), 0
     for w in v.windows(text):
-        if isinstance(w, int):
-            got, said = [w], str(w)
-        else:
-            found = list(map(memo.__getitem__, w))
-            got = list(itertools.chain.from_iterable(map(_IDS, found)))
-            said = ",".join(map(_DECIMAL, found))
-        if got:
-            ids_hash.update((("," if n else "") + said).encode())
-            text_hash.update(decoder.feed(got).encode())
-            n += len(got)
+        for got, said in [([w], str(w))] if isinstance(w, int) else _pieces(v, w, memo):
+            if got:
+                ids_hash.update((("," if n else "") + said).encode())
+                text_hash.update(decoder.feed(got).encode())
+                n += len(got)
     text_hash.update(decoder.flush().encode())
     return n, ids_hash.hexdigest(), text_hash.hexdigest()
 

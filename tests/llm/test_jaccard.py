@@ -2,7 +2,9 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vecscore.llm import graph, jaccard as J
 from vecscore.llm.common import Scratch
@@ -77,13 +79,16 @@ def test_like_brute_force(spark, seed, words, percent):
     assert got(J.join(docs(spark, rows), words, percent)) == brute(rows, words, percent)
 
 
-@pytest.mark.parametrize("in_blocks", [0, 100_000])
-def test_common_subsets_and_almost_linked_groups(spark, monkeypatch, in_blocks):
-    """Every path: subsets common to unlike documents, the second index, blocks."""
-    monkeypatch.setattr(J, "FEW", 1)
-    monkeypatch.setattr(J, "ROUNDS", 1)
-    monkeypatch.setattr(J, "BLOCK", 8)
-    monkeypatch.setattr(J, "IN_BLOCKS", in_blocks)
+@pytest.mark.parametrize("few, rounds, sample", [(1, 1, 256), (0, 0, 40)])
+def test_common_subsets_and_almost_linked_groups(spark, monkeypatch, few, rounds, sample):
+    """Every path: subsets common to unlike documents, the further levels, groups compared to the end."""
+    monkeypatch.setattr(J, "FEW", few)
+    monkeypatch.setattr(J, "ROUNDS", rounds)
+    monkeypatch.setattr(J, "SAMPLE", sample)
+    monkeypatch.setattr(J, "SMALL", sample)
+    ended = []
+    finish = J.Merger.finish
+    monkeypatch.setattr(J.Merger, "finish", lambda self, groups, n, bands: (ended.append(n), finish(self, groups, n, bands)))
     r = random.Random(8)
     base = [f"b{k}" for k in range(120)]
     rows = []
@@ -95,6 +100,89 @@ def test_common_subsets_and_almost_linked_groups(spark, monkeypatch, in_blocks):
     short = " ".join(f"c{k}" for k in range(14))
     rows += [(100 + i, f"{short} {' '.join(f'z{i}{k}' for k in range(i % 5))}") for i in range(40)]
     assert got(J.join(docs(spark, rows))) == brute(rows)
+    assert ended or rounds  # with no round at all, the end is reached
+
+
+def test_levels_lose_no_link():
+    """At each level a linked pair shares hashes in more segments than either has to spare, or one has too few that tell anything."""
+    r = np.random.default_rng(4)
+    bands = J.Bands(80)
+    for n in (8, 20, 60, 150, 700):
+        for _ in range(20):
+            x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+            g = next(bands.of(len(x)))
+            away = int(r.integers(0, bands.differ[g] + 1))
+            y = np.sort(np.concatenate((x[away // 2 :], r.integers(0, 2**63, away - away // 2, dtype=np.uint64))))
+            if not (bands.lo[g] <= len(y) <= bands.partner[g]):
+                continue
+            for level in range(J.TOKENS + 1):
+                (sx, hx, ox), (sy, hy, oy) = (J.level_hashes(t, bands, g, level) for t in (x, y))
+                met = set(ox[np.isin(hx, hy)].tolist())
+                assert len(met) > max(sx, sy) or sx < 0 or sy < 0, (n, level)
+
+
+def test_differences_from_any_base_lose_no_link():
+    """Linked sets share one of their first differences, or both link with the member of least cost."""
+    r = np.random.default_rng(9)
+    bands = J.Bands(85)
+    linked = lambda x, y: 100 * len(x & y) >= 85 * len(x | y)
+    shared = alone = 0
+    for _ in range(200):
+        full = set(range(100))
+        base = full - set(r.choice(100, int(r.integers(0, 30)), replace=False).tolist())
+        group = []
+        for i in range(12):
+            gone = r.choice(100, int(r.integers(0, 9)), replace=False).tolist()
+            group.append((full - set(gone)) | {1000 + int(x) for x in r.choice(40, int(r.integers(0, 9)), replace=False)})
+        cost = [2 * 85 * len(x - base) + 200 * len(base - x) for x in group]
+        least = group[int(np.argmin(cost))]
+        for x in group:
+            for y in group:
+                if linked(x, y):
+                    g = max(k for k in range(len(bands.lo)) if bands.lo[k] <= min(len(x), len(y)))
+                    first = [set(sorted(z ^ base)[: bands.differ[g] + 1]) for z in (x, y)]
+                    shared += bool(first[0] & first[1])
+                    if not first[0] & first[1]:
+                        alone += 1
+                        assert linked(x, least) and linked(y, least)
+    assert shared and alone
+
+
+def test_groups_in_a_task():
+    h = np.repeat(np.array([5, 9, 7], np.uint64), [20, 3, 8])
+    n = np.arange(31, dtype=np.uint64)[::-1].copy()
+    stay, centres, (own, to) = J.gathered(h, n)
+    assert sorted(h[stay]) == [9, 9, 9] and sorted(zip(h[centres], n[centres])) == [(5, 11), (7, 0)]
+    assert len(own) == 28 and set(zip(h[own], n[to])) == {(5, 11), (7, 0)}
+    assert [len(x) for x in J.gathered(h[:0], n[:0])[:2]] == [0, 0]
+    # What a range sees of a group that tasks joined goes on with all members, its centre too.
+    x, centre, hash_, member = J.star(np.array([5, 5, 9, 9], np.uint64), np.array([3, 11, 1, 2]), np.array([5], np.uint64))
+    assert list(zip(x, centre)) == [(2, 1), (11, 3)] and sorted(zip(hash_, member)) == [(5, 3), (5, 11)]
+
+
+def test_a_text_and_a_subset_that_most_rows_share(spark, monkeypatch):
+    """Hot keys are dealt over parts; ids may be texts; texts of equal hash are told apart."""
+    from vecscore.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    monkeypatch.setattr(J, "ONE_TASK", 0)
+    monkeypatch.setattr(J, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(J, "_first_hash", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    t = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(t)) for i in range(40)] + [(100 + i, " ".join(t[:i] + [f"x{i}"] + t[i + 1 :])) for i in range(40)] + [(200 + i, " ".join(t[:20] + [f"y{i}{k}" for k in range(40)])) for i in range(20)]
+    want = brute(rows)
+    assert got(J.join(docs(spark, rows))) == want
+    named = spark.createDataFrame([(f"id{i:04}", t) for i, t in rows], "doc_id string, text string")
+    assert got(J.join(named)) == {f"id{i:04}": (n, f"id{c:04}") for i, (n, c) in want.items()}
+
+
+def test_kept_rows_are_the_same_in_every_layout(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, t, f"s{k}", k) for k in range(6)] + [(1, t + " z", "s", 9), (2, "", "a", 1), (2, "", "b", 2)]
+    schema = "doc_id bigint, text string, _row string, _tie int"
+    d = spark.createDataFrame(rows, schema)
+    kept = [sorted(map(tuple, J.keep_first(d.repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3 and kept[0][1:] == [(2, "", "a", 1), (2, "", "b", 2)]
 
 
 def test_rows(spark):
@@ -131,8 +219,9 @@ def test_parities_never_overstate():
     for n, m, same in ((10, 10, 9), (500, 480, 450), (700, 300, 100), (5, 4000, 3)):
         x = np.unique(r.integers(0, 2**63, n + m, dtype=np.uint64))
         p, q = np.sort(x[:n]), np.sort(np.concatenate((x[:same], x[n : n + m - same])))
-        assert J._differ(J.parity(p), J.parity(q)) <= len(np.setxor1d(p, q))
-        assert J._differ(J.parity(p), J.parity(p)) == 0
+        both = [pa.array([J.parity(x), J.parity(p)], pa.binary()) for x in (p, q)]
+        assert J.differ(both[0], pa.array([J.parity(q), J.parity(p)], pa.binary())).tolist()[1] == 0
+        assert (J.differ(*both) <= len(np.setxor1d(p, q))).all()
 
 
 def test_components(spark):

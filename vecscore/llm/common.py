@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialized, removed, shared_path, stored
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Slim rows that one task may hold.
 ONE_TASK = 500_000
+#: Rows of one key that a task may hold in a join, at least; and keys that may have more, at most.
+HOT, MOST_HOT = 1_000, 1_000_000
 #: Copies of one row that a single task writes out.
 COPIES_PER_TASK = 100_000
 
@@ -22,51 +25,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    where, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
-    if where:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(where)
-        return where
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder: later plans read it and no lost executor can take it away."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def tidied(spark: SparkSession) -> None:
-    """Let the driver forget the rounds that are over: Spark deletes shuffles, broadcasts and checkpoints it has no more use for."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """``df`` computed once into the shared folder: the result reads it, so it stays until the application ends."""
+    return materialized(df, "cut")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of texts stay small: rows to a batch, and bytes where texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what Python makes of one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def row_of(docs: DataFrame) -> Column:
+    """A whole row in one struct, so that no column's name can clash with those an operator makes."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """As :func:`cut`, but as a compressed columnar table at ``path``, for wide or large intermediates."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def unpacked(rows: DataFrame, docs: DataFrame, column: str = "_row") -> DataFrame:
+    """The columns of ``docs`` again, from structs of :func:`row_of`."""
+    return rows.select(*[F.col(column).getField(c).alias(c) for c in docs.columns])
 
 
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def tie_of(docs: DataFrame, *known: str) -> Column:
+    """A number that tells rows apart by their columns other than text and ``known``, the same in every run."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *known)]
+    return F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0).cast("long")
 
 
 class Scratch:
@@ -98,6 +82,21 @@ class Scratch:
         removed(self.spark, self.path)
 
 
+def met(rows: DataFrame, few: DataFrame, key: str, n: int, spread: Column | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` with ``few``, which holds few rows of any key, whereas ``rows`` may hold most of its ``n`` under one.
+
+    Rows of a key with more than HOT, or a millionth of ``n``, are dealt by ``spread`` over parts of that many, and the
+    rows of ``few`` go to each part. There are at most MOST_HOT such keys, so their list is small enough to broadcast.
+    """
+    limit = max(HOT, n // MOST_HOT)
+    hot = F.broadcast(rows.groupBy(F.col(key).alias("_hot_k")).agg(F.ceil(F.count(F.lit(1)) / limit).alias("_hot_parts")).where("_hot_parts > 1"))
+    parts = F.coalesce("_hot_parts", F.lit(1))
+    spread = F.monotonically_increasing_id() if spread is None else spread
+    one = rows.withColumn("_hot_spread", spread).join(hot, F.col(key) == F.col("_hot_k"), "left").withColumn("_hot_part", F.pmod("_hot_spread", parts)).drop("_hot_spread", "_hot_k", "_hot_parts")
+    two = few.join(hot, F.col(key) == F.col("_hot_k"), "left").withColumn("_hot_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_hot_k", "_hot_parts")
+    return one.join(two, [key, "_hot_part"], how).drop("_hot_part")
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

@@ -12,11 +12,20 @@ difference of one: all subsets and their one-deletion neighbourhoods, a row for
 and tells far more than subsets of three or four tokens would. Larger sets take one row a segment.
 
 x_g pays for segments that tell nothing: empty ones, and *common* subsets that many unlike documents share.
-A pair is lost only if both documents have more than x_g of these. Such documents, and only they, go on, again by
-cost: of a band with up to IN_BLOCKS of them, each block of 1024 is compared with each other, parity bits against parity bits,
-and only what these cannot refute is emitted; a band with more gets a second index, of neighbourhoods, and only
-what that leaves split is compared in blocks (a segment with fewer than two tokens tells nothing there; documents
-with more than x'_g of those are cut again by another hash). All of it is exact; the blocks are quadratic in the number of such documents.
+A pair is lost only if both documents have more than x_g of these. Such documents, and only they, go on to the next
+level, which costs a row for each of their tokens: half as many segments, with one-deletion neighbourhoods; then single
+tokens, where a document is done if fewer of its tokens are common than it must share with a linked one. Sets whose
+segments would hold too few tokens skip to that.
+
+What even this leaves are documents that share nearly all of their tokens with many unlike ones, such as copies of one
+text with more changes than the threshold allows. They meet by the rarest of their common tokens, and each such group
+is described by its *base*, the tokens that most members of a sample have, and by what each member differs from it.
+Two linked members either share a difference, then one of the first H_g + 1 in a fixed order, or none, and
+then both link with the member that is cheapest by its differences, x extra and y missing tokens: with
+a = (1 - t) / (1 + t) sets of disjoint differences link if and only if their costs, (1 - a) x + (1 + a) y, are together
+at most 2 a |base|. So that member is compared with all others, and the groups that share a difference go round again. A
+difference is what fewer than half have, so groups halve; those of at most SMALL members are compared among
+themselves by parities. That is exact for any base.
 
 Candidates are not all pairs of those that share a subset. The group's smallest member is compared with all
 others, links are merged to components, and only what is still in different components goes on: members outside the
@@ -24,27 +33,34 @@ largest component, if few, are compared with all others; if many, one from the s
 rounds. A subset still split after them is common. So work per round is linear in the group, no pair is emitted
 within a component, and no link between components is lost.
 
-Subset hashes travel packed by hash range; ranges hold a bounded number each, by the input's size. Candidates are
-refuted by parity bits where possible and checked exactly on the sets of shingle hashes (64 bits) otherwise; sets are
-made once, for the documents that take part in any candidate.
+Subset hashes travel packed by hash range; ranges hold a bounded number each, by the input's size. A task first
+joins what it has itself: of LOCAL documents or more that share a subset, the smallest is paired with the others
+there and then, and it alone goes to the range. So a subset that most documents share puts one row a task and
+buffer into its range. Joins by a subset, label or text that many rows share deal these over parts.
+Candidates are refuted by parity bits where possible and checked exactly on the sets of shingle hashes (64 bits)
+otherwise; sets are made once, for the documents that take part in any candidate.
 
 Words are ASCII-space separated, A-Z lower-cased; a document of fewer than WORDS words has its whole sequence as
-its one shingle. Nulls: a null text, or one without words, has no shingles and no links (component: its own
-id); a null id can be in a component but not name it. Equal rows are one node. An empty table gives an empty
+its one shingle; a very long one has a row for each segment, so more rows, not larger ones. Nulls: a null text, or one without words, has no shingles and no links (component: its own
+id); a null id can be in a component but not name it; ids may be of any type that has an order. Equal texts are one
+node, named by a 64-bit hash; unlike texts that share one are named by a second hash. An empty table gives an empty
 result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, shared_path, small_batches, stored, tidied
+from ..sources.shared import clean_shuffles, shared_path, stored
+from .common import ONE_TASK, Scratch, met, row_of, slices, tie_of, unpacked
 from .graph import components
 
 #: Subset hashes in one range, at about one for every 16 bytes of text.
@@ -53,13 +69,16 @@ RANGE = 500_000
 BROADCAST_IDS = 1_000_000
 #: Members outside the largest component up to which a group is finished at once; rounds for larger ones.
 FEW, ROUNDS = 8, 1
-_FLUSH = 400_000
+#: Subset hashes a task buffers; documents of one subset among them that it joins itself.
+_FLUSH, LOCAL = 1_000_000, 8
 #: Differences up to which a band's first index takes one-deletion neighbourhoods: sets of about twenty tokens.
 WIDE = 3
-#: Documents of a band with too little to tell that are compared in blocks; a second index is cheaper for more.
-IN_BLOCKS = 100_000
-#: Documents in a block of those compared bit by bit.
-BLOCK = 1024
+#: Tokens that a segment of a neighbourhood should hold on average; single tokens are indexed instead where it would be fewer.
+FULL = 4
+#: The level at which every band is indexed by single tokens.
+TOKENS = 2
+#: Members of a group, about, whose majority makes its base; and members up to which a group is compared in one task.
+SAMPLE, SMALL = 64, 256
 _U = np.uint64
 
 
@@ -121,6 +140,14 @@ class Bands:
     def segments_wide(self, g: int) -> int:
         return self.differ[g] // 2 + 1 + self.spare_wide(g)
 
+    def by_token(self, g: int, level: int) -> bool:
+        """Whether band ``g`` is indexed by single tokens at ``level``."""
+        return level >= TOKENS or self.wide(g) or self.lo[g] < FULL * self.segments_wide(g)
+
+    def shared(self, n: int) -> int:
+        """Tokens that a set of ``n`` must share with a linked one, at least."""
+        return -(-self.percent * n // 100)
+
 
 def _subsets(tokens: np.ndarray, m: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first, end) of each non-empty segment in ``tokens``, sorted by what decides the segment."""
@@ -139,19 +166,14 @@ def _sums(tokens: np.ndarray) -> np.ndarray:
 
 
 def index_hashes(tokens: np.ndarray, bands: Bands) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(band, segments that tell nothing, hashes of the others) for the bands of a set."""
-    sums = _sums(tokens)
+    """(band, segments to spare that are left, hashes) of the first index, for the bands of a set."""
     for g in bands.of(len(tokens)):
-        if bands.wide(g):
-            yield g, *neighbourhood_hashes(tokens, bands, g, 0)
-            continue
-        m = bands.segments(g)
-        at, first, end = _subsets(tokens, m)
-        yield g, m - len(at), _signed(sums[end] - sums[first], at, g)
+        spare, hashes, _ = level_hashes(tokens, bands, g, 0)
+        yield g, spare, np.unique(hashes)
 
 
-def neighbourhood_hashes(tokens: np.ndarray, bands: Bands, g: int, seed: int) -> tuple[int, np.ndarray]:
-    """(segments of fewer than two tokens, hashes of all subsets and their one-deletion neighbourhoods) in band ``g``."""
+def neighbourhood_hashes(tokens: np.ndarray, bands: Bands, g: int, seed: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(segments of fewer than two tokens, hashes of all subsets and their one-deletion neighbourhoods, segment of each)."""
     tokens = np.sort(_mixed(tokens + _U(seed)))
     m = bands.segments_wide(g)
     at, first, end = _subsets(tokens, m)
@@ -161,58 +183,115 @@ def neighbourhood_hashes(tokens: np.ndarray, bands: Bands, g: int, seed: int) ->
     own = sums[1:] - sums[:-1]
     big = np.repeat(size > 1, size)
     less = (np.repeat(whole, size) - own)[big]
-    hashes = np.concatenate((_signed(whole, at, g), _signed(less, np.repeat(at, size)[big], g)))
-    return m - int((size > 1).sum()), np.unique(hashes)
+    of = np.concatenate((at, np.repeat(at, size)[big]))
+    return m - int((size > 1).sum()), _signed(np.concatenate((whole, less)), of, g), of
+
+
+def level_hashes(tokens: np.ndarray, bands: Bands, g: int, level: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(segments to spare that are left, hashes, segment of each) in band ``g`` at ``level``, from 0."""
+    if level and bands.by_token(g, level):
+        return bands.shared(len(tokens)) - 1, _signed(_mixed(tokens), np.zeros(1, np.uint64), g), np.arange(len(tokens), dtype=np.uint64)
+    if level or bands.wide(g):
+        poor, hashes, of = neighbourhood_hashes(tokens, bands, g, level)
+        return bands.spare_wide(g) - poor, hashes, of
+    m = bands.segments(g)
+    at, first, end = _subsets(tokens, m)
+    sums = _sums(tokens)
+    return bands.spare(g) - (m - len(at)), _signed(sums[end] - sums[first], at, g), at
+
+
+def gathered(hashes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which entries stay as they are, places of the centres, place of the centre for each other entry).
+
+    The others stand in groups of LOCAL or more of equal hash; a group's centre is its smallest node.
+    """
+    order = np.lexsort((nodes, hashes))
+    h = hashes[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(h)))
+    many = size >= LOCAL
+    own = np.repeat(many, size)
+    return np.sort(order[~own]), order[first[many]], np.stack([order[own], np.repeat(order[first[many]], size[many])])
+
 
+#: Packed rows, by kind: arrays of 64 bits each. 0 (hash, node); 1 the same, of a centre; 2 (node, band) with too many
+#: segments that tell nothing; 4 pairs and 5 (hash, member) of groups a task joined itself. Kind 3 is a table of documents.
+_WIDTH = {0: 2, 1: 2, 2: 2, 4: 2, 5: 2}
 
-def _index(docs: DataFrame, words: int, bands: Bands, ranges: int) -> DataFrame:
-    """(range, kind, payload): packed subset hashes with nodes, nodes with too many empty segments, and documents."""
+
+def _index(rows: DataFrame, words: int, bands: Bands, ranges: int) -> DataFrame:
+    """(range, kind, payload) of (doc_id, node, text): packed subset hashes with nodes, and documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        hashes, nodes, sparse, rows, held = [], [], [], [], 0
+        hashes, nodes, sparse, docs, held = [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            h = np.concatenate(hashes or [np.empty(0, np.uint64)])
+            n = np.concatenate(nodes or [np.empty(0, np.int64)]).view(np.uint64)
+            stay, centres, (own, to) = gathered(h, n)
+            poor = np.array(sparse, np.int64).reshape(-1, 2).T.copy().view(np.uint64)
+            other = own != to
             out: list[tuple[int, int, bytes]] = []
-            every = np.concatenate(hashes or [np.empty(0, np.uint64)])
             for kind, keys, payload in (
-                (0, every >> _U(8), [every, np.concatenate(nodes or [np.empty(0, np.int64)]).view(np.uint64)]),
-                (2, np.array([x[0] for x in sparse], np.int64).view(np.uint64), [np.array([x[i] for x in sparse], np.int64).view(np.uint64) for i in range(2)]),
-                (3, np.arange(len(rows), dtype=np.uint64), [np.array([x[i] for x in rows], np.int64).view(np.uint64) for i in range(4)]),
+                (0, h[stay] >> _U(8), [h[stay], n[stay]]),
+                (1, h[centres] >> _U(8), [h[centres], n[centres]]),
+                (2, poor[0], poor),
+                (4, n[own[other]], [n[own[other]], n[to[other]]]),
+                (5, n[own], [h[own], n[own]]),
             ):
-                to = (keys % _U(ranges)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                for k, part in zip(*_runs(to[order], order)):
+                at = (keys % _U(ranges)).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                for k, part in zip(*_runs(at[order], order)):
                     out.append((int(k), kind, np.stack([x[part] for x in payload]).tobytes()))
-            for x in (hashes, nodes, sparse, rows):
+            for t in docs:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema) as w:
+                    w.write_batch(t)
+                out.append((int(t["node"][0].as_py()) % ranges, 3, sink.getvalue().to_pybytes()))
+            for x in (hashes, nodes, sparse, docs):
                 x.clear()
-            for at in range(0, len(out), 16):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out[at : at + 16]], pa.int32()), pa.array([x[1] for x in out[at : at + 16]], pa.int8()), pa.array([x[2] for x in out[at : at + 16]], pa.binary())], ["range", "kind", "payload"])
+            for i in range(0, len(out), 16):
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out[i : i + 16]], t) for j, t in enumerate((pa.int32(), pa.int8(), pa.binary()))], ["range", "kind", "payload"])
 
-        for b in batches:
-            for doc_id, node, text in zip(*(c.to_pylist() for c in b.columns)):
+        for b in slices(batches):
+            sizes = []
+            for node, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 tokens = shingles(text, words)
-                rows.append((doc_id or 0, int(doc_id is None), node, len(tokens)))
+                sizes.append(len(tokens))
                 if not len(tokens) or node in seen:
                     continue
                 seen.add(node)
-                for g, empty, found in index_hashes(tokens, bands):
+                for g, spare, found in index_hashes(tokens, bands):
                     hashes.append(found)
                     nodes.append(np.full(len(found), node, np.int64))
                     held += len(found)
-                    if empty > bands.spare(g):
+                    if spare < 0:
                         sparse.append((node, g))
-                if held > _FLUSH:
-                    yield from flush()
-                    held = 0
+            docs.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["doc_id", "node", "n"]))
+            if held > _FLUSH:
+                yield from flush()
+                held = 0
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("bigint"), _node(), "text").mapInArrow(run, "range int, kind byte, payload binary")
+    return rows.mapInArrow(run, "range int, kind byte, payload binary")
+
 
+def _first_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
-def _node():
-    """The node of a row: rows of equal text are one."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_node")
+
+def nodes_of(docs: DataFrame) -> Column:
+    """The node of a row of ``docs``.
+
+    Rows of equal text are one node. Unlike texts of one 64-bit hash, of which a handful is to be expected among 10^10
+    texts, are told apart by a second one.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    one, two = _first_hash(text), F.xxhash64(F.lit(7), text)
+    shared = docs.select(one.alias("a"), two.alias("b")).groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high")
+    unsafe = [r[0] for r in shared.select("a").collect()]  # a share of 2^-65 of the square of the number of texts
+    return F.when(one.isin(unsafe), two).otherwise(one).alias("_node") if unsafe else one.alias("_node")
 
 
 def _runs(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -222,8 +301,11 @@ def _runs(keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndar
     return keys[first], np.split(order, first[1:])
 
 
-def star(hashes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(x, centre) for each member of a group but its smallest, and (hash, x) of groups of three or more without it."""
+def star(hashes: np.ndarray, nodes: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, centre) for each member of a group but its smallest, and (hash, x) of groups of three or more without it.
+
+    Groups of the hashes in ``whole`` have members elsewhere: all that are here are given.
+    """
     order = np.lexsort((nodes, hashes))
     h, n = hashes[order], nodes[order]
     if len(h):
@@ -238,33 +320,43 @@ def star(hashes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     member = np.arange(len(h)) != at
     pairs = np.unique(np.stack([n[member], n[at[member]]], 1), axis=0)
     large = member & (np.repeat(size, size) > 2)
+    if whole is not None and len(whole):
+        large |= np.isin(h, whole)
     return pairs[:, 0], pairs[:, 1], h[large].view(np.int64), n[large]
 
 
-_FOUND = "kind byte, a bigint, b bigint, n bigint"
-
-
-def _found(parts: list[tuple[int, np.ndarray, np.ndarray, object, object]]) -> pa.Table:
-    """One table of (kind, a, b, n) from parts (kind, a, b, n or None, null flags of a or None)."""
+def _found(parts: list[tuple[int, np.ndarray, np.ndarray]], docs: pa.Table) -> pa.Table:
+    """One table of (kind, a, b, doc_id) from parts (kind, a, b) and, of kind 3, documents: a the size, b the node."""
     cols: list[list] = [[], [], [], []]
-    for kind, a, b, n, null in parts:
-        cols[0].append(pa.array(np.full(len(a), kind, np.int8)))
-        cols[1].append(pa.array(a, pa.int64(), mask=null))
-        cols[2].append(pa.array(b, pa.int64()))
-        cols[3].append(pa.nulls(len(a), pa.int64()) if n is None else pa.array(n, pa.int64()))
-    return pa.table([pa.chunked_array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int64(), pa.int64()))], names=["kind", "a", "b", "n"])
+    for kind, a, b in parts:
+        for c, x in zip(cols, (np.full(len(a), kind, np.int8), a, b)):
+            c.append(pa.array(x))
+        cols[3].append(pa.nulls(len(a), docs.schema.field("doc_id").type))
+    for c, x in zip(cols, (pa.array(np.full(docs.num_rows, 3, np.int8)), *(docs[k].combine_chunks() for k in ("n", "node", "doc_id")))):
+        c.append(x)
+    return pa.table([pa.chunked_array(c, t) for c, t in zip(cols, (pa.int8(), pa.int64(), pa.int64(), docs.schema.field("doc_id").type))], names=["kind", "a", "b", "doc_id"])
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(empty: pa.Schema) -> Callable[[pa.Table], pa.Table]:
     """What the packed rows of one range have in common: kinds 0 pairs, 1 members of groups, 2 sparse nodes, 3 documents."""
-    parts: dict[int, list[np.ndarray]] = {0: [], 2: [], 3: []}
-    for kind, payload in zip(table["kind"].to_pylist(), table["payload"].to_pylist()):
-        parts[kind].append(np.frombuffer(payload, np.uint64).reshape({0: 2, 2: 2, 3: 4}[kind], -1))
-    got = {k: np.concatenate(v, 1) if v else np.empty(({0: 2, 2: 2, 3: 4}[k], 0), np.uint64) for k, v in parts.items()}
-    x, centre, h, member = star(got[0][0], got[0][1].view(np.int64))
-    doc, null, node, n = (r.view(np.int64) for r in got[3])
-    node2, g = (r.view(np.int64) for r in got[2])
-    return _found([(0, x, centre, None, None), (1, h, member, None, None), (2, node2, g, None, None), (3, doc, node, n, null.astype(bool))])
+
+    def run(table: pa.Table) -> pa.Table:
+        parts: dict[int, list[np.ndarray]] = {k: [np.empty((w, 0), np.uint64)] for k, w in _WIDTH.items()}
+        docs = [pa.table([pa.array([], f.type) for f in empty], schema=empty)]
+        for kind, payload in zip(table["kind"], table["payload"]):
+            raw = payload.as_buffer()
+            if kind.as_py() == 3:
+                with pa.ipc.open_stream(raw) as r:
+                    docs.append(r.read_all().cast(empty))
+            else:
+                parts[kind.as_py()].append(np.frombuffer(raw, np.uint64).reshape(_WIDTH[kind.as_py()], -1))
+        got = {k: np.concatenate(v, 1) for k, v in parts.items()}
+        at = np.concatenate((got[0], got[1]), 1)
+        x, centre, h, member = star(at[0], at[1].view(np.int64), got[1][0])
+        signed = {k: [r.view(np.int64) for r in got[k]] for k in (2, 4, 5)}
+        return _found([(0, x, centre), (1, h, member), (2, *signed[2]), (0, *signed[4]), (1, *signed[5])], pa.concat_tables(docs))
+
+    return run
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -277,14 +369,24 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits(met.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _differ(p: bytes, q: bytes) -> int:
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities as rows of ``width`` words: of the longer ones halves are added until they are as short."""
+    while bits.shape[1] > width:
+        bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+    return bits
+
+
+def differ(p: pa.Array, q: pa.Array) -> np.ndarray:
     """Least number of tokens by which two sets differ, by their parities; the longer one is folded to the shorter."""
-    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-    while len(p) != len(q):
-        if len(p) < len(q):
-            p, q = q, p
-        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
-    return int(np.bitwise_count(p ^ q).sum())
+    widths = [pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) // 8 for x in (p, q)]
+    out = np.zeros(len(p), np.int64)
+    for w, v in np.unique(np.stack(widths, 1), axis=0):
+        at = np.flatnonzero((widths[0] == w) & (widths[1] == v))
+        rows = pa.array(at)
+        one, two = (np.frombuffer(b"".join(x.take(rows).to_pylist()), np.uint64).reshape(len(at), -1) for x in (p, q))
+        width = min(w, v)
+        out[at] = np.bitwise_count(_folded(one, width) ^ _folded(two, width)).sum(1, dtype=np.int64)
+    return out
 
 
 class Checker:
@@ -293,24 +395,26 @@ class Checker:
     def __init__(self, sets: DataFrame, percent: int, scratch: Scratch):
         self.sets, self.percent, self.scratch = sets, percent, scratch
 
-    def _meet(self, pairs: DataFrame, column: str, few: bool) -> DataFrame:
-        """(a, b, _p, _q) with ``column`` of both; ``few`` pairs are broadcast, so that sets without one do not move."""
-        one, two = (self.sets.select(F.col("node").alias(n), *[F.col(c).alias(x) for c, x in ((column, v), ("n", m))]) for n, v, m in (("a", "_p", "_m"), ("b", "_q", "_n")))
-        if few:
+    def _meet(self, pairs: DataFrame, column: str, n: int) -> DataFrame:
+        """(a, b, _p, _q) with ``column`` of both; few pairs are broadcast, so that sets without one do not move."""
+        one, two = (self.sets.select(F.col("node").alias(k), *[F.col(c).alias(x) for c, x in ((column, v), ("n", m))]) for k, v, m in (("a", "_p", "_m"), ("b", "_q", "_n")))
+        if n <= BROADCAST_IDS:
             two = two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
-            pairs = F.broadcast(pairs)
+            both = one.join(F.broadcast(pairs), "a").join(two, "b")
+        else:
+            both = met(one.join(pairs, "a"), two, "b", n, F.xxhash64("a"))
         # Sizes that cannot link are seen here, before anything is compared.
         near = 100 * F.least("_m", "_n") >= self.percent * F.greatest("_m", "_n")
-        return one.join(pairs, "a").join(two, "b").where(near).select("a", "b", "_p", "_q", "_m", "_n")
+        return both.where(near).select("a", "b", "_p", "_q", "_m", "_n")
 
     def links(self, pairs: DataFrame, n: int) -> DataFrame:
         """Those of the ``n`` pairs (a, b) that link. The node of the two that has more pairs had best be b."""
         percent = self.percent
 
         def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                keep = [(100 + percent) * _differ(p, q) <= (100 - percent) * (m + n) for p, q, m, n in zip(*(c.to_pylist() for c in x.columns[2:]))]
-                yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for x in slices(batches):
+                m, n = (x.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+                yield x.select([0, 1]).filter(pa.array((100 + percent) * differ(x.column(2), x.column(3)) <= (100 - percent) * (m + n)))
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
@@ -322,18 +426,18 @@ class Checker:
                     keep.append(100 * same >= percent * (len(p) + len(q) - same))
                 yield x.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        some, n = self.scratch.cut_and_count(self._meet(pairs, "parity", n <= BROADCAST_IDS).mapInArrow(rough, "a bigint, b bigint"))
-        return self._meet(some, "tokens", n <= BROADCAST_IDS).mapInArrow(exact, "a bigint, b bigint")
+        some, n = self.scratch.cut_and_count(self._meet(pairs, "parity", n).mapInArrow(rough, "a bigint, b bigint"))
+        return self._meet(some, "tokens", n).mapInArrow(exact, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, words: int, needed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, n, parity, tokens) of the needed nodes; tokens are the sorted hashes as bytes."""
-    if needed.count() <= BROADCAST_IDS:
+def _sets(rows: DataFrame, words: int, needed: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(node, n, parity, tokens) of the ``n`` needed nodes; tokens are the sorted hashes as bytes."""
+    if n <= BROADCAST_IDS:
         needed = F.broadcast(needed)
-    texts = docs.select(_node(), "text").join(needed, F.col("_node") == F.col("node")).groupBy("node").agg(F.first("text").alias("text"))
+    texts = rows.join(needed.withColumnRenamed("node", "_node"), "_node").groupBy(F.col("_node").alias("node")).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [shingles(t, words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in got], pa.int64()), pa.array([parity(t) for t in got], pa.binary()), pa.array([t.tobytes() for t in got], pa.binary())], ["node", "n", "parity", "tokens"])
 
@@ -343,9 +447,13 @@ def _sets(docs: DataFrame, words: int, needed: DataFrame, scratch: Scratch) -> D
 class Merger:
     """Labels of nodes; the groups that share a subset are worked off against it."""
 
-    def __init__(self, nodes: DataFrame, check: Checker):
-        self.check, self.scratch = check, check.scratch
-        self.labels = self.scratch.cut(nodes.select("node", F.col("node").alias("label")))
+    def __init__(self, nodes: DataFrame, n: int, check: Checker):
+        self.check, self.scratch, self.n = check, check.scratch, n
+        self.labels = nodes.select("node", F.col("node").alias("label"))
+
+    def _with(self, rows: DataFrame, few: DataFrame, key: str, n: int, spread: str, how: str = "inner") -> DataFrame:
+        """A join in which one key may have most of the ``n`` rows; up to ONE_TASK of them are in one partition anyway."""
+        return rows.join(few, key, how) if n <= ONE_TASK else met(rows, few, key, n, F.xxhash64(spread), how)
 
     def add(self, pairs: DataFrame, n: int) -> None:
         """Check the ``n`` pairs (a, b) and merge the labels of those that link."""
@@ -354,11 +462,12 @@ class Merger:
         links, n = self.scratch.cut_and_count(self.check.links(pairs, n))
         if not n:
             return
-        at = [self.labels.select(F.col("node").alias(n), F.col("label").alias(x)) for n, x in (("a", "_a"), ("b", "_b"))]
-        merged = components(links.join(at[0], "a").join(at[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), self.scratch).withColumnRenamed("label", "_new").withColumnRenamed("node", "_old")
-        self.labels = self.scratch.cut(self.labels.join(merged, F.col("label") == F.col("_old"), "left").select("node", F.coalesce("_new", "label").alias("label")))
+        at = [self.labels.select(F.col("node").alias(k), F.col("label").alias(x)) for k, x in (("a", "_a"), ("b", "_b"))]
+        both = self._with(links.join(at[0], "a"), at[1], "b", n, "a")
+        merged = components(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")), self.scratch).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+        self.labels = self.scratch.cut(self._with(self.labels, merged, "label", self.n, "node", "left").select("node", F.coalesce("_new", "label").alias("label")))
 
-    def work_off(self, groups: DataFrame, rounds: int) -> DataFrame:
+    def work_off(self, groups: DataFrame, n: int, rounds: int) -> DataFrame:
         """Compare members of each group (hash, node) across labels; what is still split after ``rounds`` comes back."""
         done = 0
         while True:
@@ -367,130 +476,195 @@ class Merger:
             split = sizes.groupBy("hash").agg(
                 F.max(F.struct("_n", "label")).alias("_top"), F.min(F.struct("_n", "label", "_least")).alias("_low"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds")
             ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), F.col("_low.label").alias("_lc"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
-            open_, n = self.scratch.cut_and_count(at.join(split, "hash"))
+            open_, n = self.scratch.cut_and_count(self._with(at, split, "hash", n, "node"))
             if not n or done >= rounds:
                 return open_.select("hash", "node")
             done += 1
-            tidied(groups.sparkSession)
             outside = open_.where("_few and label <> _main").select("hash", F.col("node").alias("_u"), F.col("label").alias("_lu"))
-            few = open_.where("_few").join(outside, "hash").where("label <> _lu and (label = _main or node < _u)").select(F.col("node").alias("a"), F.col("_u").alias("b"))
+            few = self._with(open_.where("_few"), outside, "hash", n, "node").where("label <> _lu and (label = _main or node < _u)").select(F.col("node").alias("a"), F.col("_u").alias("b"))
             many = open_.where("not _few and label <> _lc").select(F.col("node").alias("a"), F.col("_centre").alias("b"))
             self.add(*self.scratch.cut_and_count(few.union(many).distinct()))
-            groups = self.scratch.cut(open_.where("not _few and node <> _centre").select("hash", "node"))
+            groups, n = self.scratch.cut_and_count(open_.where("not _few and node <> _centre").select("hash", "node"))
+
+    def finish(self, groups: DataFrame, n: int, bands: Bands) -> None:
+        """Work off the ``n`` rows of groups (hash, node) to the end, by what members differ from their group's base."""
+        first = True
+        while n:
+            at = groups.join(self.labels, "node")
+            split = at.groupBy("hash").agg(F.min("node").alias("_by"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("hash", "_by")
+            # Nearly the same documents share most of their tokens: groups of tokens with the same smallest member are taken as one.
+            key, first = F.xxhash64("_by", F.expr("hash & 255L")) if first else F.col("hash"), False
+            members = self._with(at, split, "hash", n, "node").select(F.expr("hash & 255L").alias("g"), key.alias("key"), "node", "label")
+            members, n = self.scratch.cut_and_count(members.distinct())
+            if not n:
+                return
+            sizes = self.scratch.cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("_size")))
+            few = members.join(sizes.where(F.col("_size") <= SMALL), "key")
+            self.add(*self.scratch.cut_and_count(_near(few, self.check.sets, self.check.percent).distinct()))
+            many, n = self.scratch.cut_and_count(self._with(members, sizes.where(F.col("_size") > SMALL), "key", n, "node"))
+            if not n:
+                return
+            sets = self.check.sets.select("node", "tokens")
+            based = self._with(many, _bases(many, sets), "key", n, "node", "left").join(sets, "node")
+            seen = self.scratch.cut(_differences(based, bands), slim=False)
+            centres = seen.groupBy("key").agg(F.min(F.struct("cost", "node", "label")).alias("_c")).select("key", F.col("_c.node").alias("b"), F.col("_c.label").alias("_lb"))
+            pairs = self._with(seen.select("key", F.col("node").alias("a"), "label"), centres, "key", n, "a").where("label <> _lb").select("a", "b")
+            self.add(*self.scratch.cut_and_count(pairs.distinct()))
+            groups, n = self.scratch.cut_and_count(seen.select(F.explode("hashes").alias("hash"), "node"))
+
+
+def _near(few: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different labels in groups (key, node, label) of at most SMALL that parities cannot refute."""
+
+    def run(x: pa.Table) -> pa.Table:
+        node, label, n = (x[c].to_numpy() for c in ("node", "label", "n"))
+        bits = [np.frombuffer(p.as_buffer(), np.uint64)[None] for p in x["parity"]]
+        bits = np.concatenate([_folded(p, min(p.shape[1] for p in bits)) for p in bits])
+        found: list[list[np.ndarray]] = [[node[:0]], [node[:0]]]
+        for k in range(len(node) - 1):
+            away = np.bitwise_count(bits[k + 1 :] ^ bits[k]).sum(1, dtype=np.int64)
+            m = n[k + 1 :]
+            near = (label[k + 1 :] != label[k]) & ((100 + percent) * away <= (100 - percent) * (m + n[k])) & (100 * np.minimum(m, n[k]) >= percent * np.maximum(m, n[k]))
+            found[0].append(np.full(int(near.sum()), node[k]))
+            found[1].append(node[k + 1 :][near])
+        return pa.table([pa.array(np.concatenate(f), pa.int64()) for f in found], names=["a", "b"])
+
+    return few.join(sets.select("node", "n", "parity"), "node").select("key", "node", "label", "n", "parity").groupBy("key").applyInArrow(run, "a bigint, b bigint")
 
 
-def _in_blocks(left: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """(a, b) of different labels in one band that parities cannot refute; ``left`` is (node, g)."""
-    rows = scratch.cut(left.distinct().join(labels, "node").join(sets.select("node", "n", "parity"), "node"), slim=False)
-    per = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
-    own = rows.join(F.broadcast(per), "g").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("g", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "label", "n", "parity")
+def _bases(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, base): the tokens that more than half of about SAMPLE members of each group (key, node, _size) have."""
+    few = members.where(F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("_size") / SAMPLE)) == 0)
 
     def run(key: tuple[pa.Scalar, ...], x: pa.Table) -> pa.Table:
-        i, j = (k.as_py() for k in key[1:])
-        at = np.asarray(x["_own"])
-        node, label, n = (np.asarray(x[c]) for c in ("node", "label", "n"))
-        bits = [np.frombuffer(p, np.uint64) for p in x["parity"].to_pylist()]
-        width = min(map(len, bits))
-        for k, p in enumerate(bits):
-            while len(p) > width:
-                p = p[: len(p) // 2] ^ p[len(p) // 2 :]
-            bits[k] = p
-        bits, one, two = np.stack(bits), np.flatnonzero(at == i), np.flatnonzero(at == j)
-        found: list[list[np.ndarray]] = [[], []]
-        for k in one:
-            rest = two[two > k] if i == j else two
-            differ = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
-            near = (label[rest] != label[k]) & ((100 + percent) * differ <= (100 - percent) * (n[rest] + n[k])) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
-            found[0].append(np.full(int(near.sum()), node[k]))
-            found[1].append(node[rest][near])
-        return pa.table([pa.array(np.concatenate(f) if f else np.empty(0, np.int64), pa.int64()) for f in found], names=["a", "b"])
+        kinds, n = np.unique(np.concatenate([np.frombuffer(t.as_buffer(), np.uint64) for t in x["tokens"]]), return_counts=True)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([kinds[2 * n > x.num_rows].tobytes()], pa.binary())], names=["key", "base"])
 
-    return scratch.cut_and_count(dealt.groupBy("g", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct())
+    return few.join(sets, "node").select("key", "tokens").groupBy("key").applyInArrow(run, "key bigint, base binary")
 
 
-def _second_index(sets: DataFrame, common: DataFrame, sparse: DataFrame, bands: Bands) -> DataFrame:
-    """(node, g, tokens) of those with more empty or common segments than their band has to spare."""
-    hot = common.groupBy("node", F.expr("hash & 255L").alias("g")).agg(F.count(F.lit(1)).alias("_hot"))
-    asked = hot.unionByName(sparse.select("node", "g", F.lit(0).cast("long").alias("_hot"))).groupBy("node", "g").agg(F.max("_hot").alias("_hot"))
+def _differences(based: DataFrame, bands: Bands) -> DataFrame:
+    """(key, node, label, cost, hashes) of (g, key, node, label, base, tokens): hashes of the first H + 1 differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            cost, hashes = [], []
+            for g, key, base, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5)):
+                base, own = np.frombuffer(base or b"", np.uint64), np.frombuffer(raw.as_buffer(), np.uint64)
+                extra, missing = np.setdiff1d(own, base, True), np.setdiff1d(base, own, True)
+                cost.append(2 * bands.percent * len(extra) + 200 * len(missing))
+                first = np.sort(_mixed(np.concatenate((extra, missing))))[: bands.differ[g] + 1]
+                hashes.append(_signed(first, np.array([key], np.int64).view(np.uint64), g).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(cost, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "node", "label", "cost", "hashes"])
+
+    return based.select("g", "key", "node", "label", "base", "tokens").mapInArrow(run, "key bigint, node bigint, label bigint, cost bigint, hashes array<bigint>")
+
+
+_SET = "node bigint, g bigint, n bigint, tokens binary"
+
+
+def _going_on(asked: DataFrame, bands: Bands, level: int) -> DataFrame:
+    """Of (node, g, hot, n, tokens), hot being the common hashes, those with more segments at ``level`` that tell nothing than they can spare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for g, hot_, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                empty = {k: e for k, e, _ in index_hashes(np.frombuffer(raw, np.uint64), bands)}[g]
-                keep.append(empty + hot_ > bands.spare(g))
-            yield b.select([0, 1, 3]).filter(pa.array(keep, pa.bool_()))
+            for g, hot, raw in zip(b.column(1).to_pylist(), b.column(2), b.column(4)):
+                spare, hashes, of = level_hashes(np.frombuffer(raw.as_buffer(), np.uint64), bands, g, level)
+                common = np.asarray(hot.values).view(np.uint64)
+                keep.append(spare < 0 or len(common) > spare and len(np.unique(of[np.isin(hashes, common)])) > spare)
+            yield b.select([0, 1, 3, 4]).filter(pa.array(keep, pa.bool_()))
 
-    return asked.join(sets, "node").select("node", "g", "_hot", "tokens").mapInArrow(run, "node bigint, g bigint, tokens binary")
+    return asked.select("node", "g", "hot", "n", "tokens").mapInArrow(run, _SET)
 
 
-def _neighbourhoods(rescued: DataFrame, bands: Bands, seed: int) -> DataFrame:
-    """(hash, node); hash is null where a set has too many segments of fewer than two tokens."""
+def _level(left: DataFrame, bands: Bands, level: int) -> DataFrame:
+    """(hash, node) of (node, g, n, tokens): what is indexed at ``level``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for node, g, raw in zip(*(c.to_pylist() for c in b.columns)):
-                poor, found = neighbourhood_hashes(np.frombuffer(raw, np.uint64), bands, g, seed)
-                again = poor > bands.spare_wide(g) and len(raw) > 8 and bands.segments_wide(g) > 1
-                values = pa.array(found.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([values, pa.nulls(int(again), pa.int64())]), pa.array([node] * (len(found) + again), pa.int64()), pa.array([g] * (len(found) + again), pa.int64())], ["hash", "node", "g"])
+            for node, g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
+                _, hashes, _ = level_hashes(np.frombuffer(raw.as_buffer(), np.uint64), bands, g, level)
+                values = np.unique(hashes).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), node, np.int64))], ["hash", "node"])
+
+    return left.mapInArrow(run, "hash bigint, node bigint")
+
 
-    return rescued.mapInArrow(run, "hash bigint, node bigint, g bigint")
+def _rarest(common: DataFrame, left: DataFrame, bands: Bands) -> DataFrame:
+    """(hash, node): of the common tokens of each (node, g, n) as many of the rarest as hold one that a linked set shares."""
+    most = F.col("n") - F.ceil(bands.percent * F.col("n") / 100) + 1
+    mine = common.withColumn("g", F.expr("hash & 255L")).join(left.select("node", "g", "n"), ["node", "g"])
+    counted = mine.join(mine.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")), "hash")
+    by = Window.partitionBy("node", "g").orderBy("_n", "hash")
+    return counted.withColumn("_at", F.row_number().over(by)).where(F.col("_at") <= most).select("hash", "node")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, node, label) for each row of ``docs`` (doc_id, text)."""
-    bands = Bands(percent)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranges = max(8, size // 16 // RANGE + 1)
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
-    found = scratch.cut(_index(docs, words, bands, ranges).groupBy("range").applyInArrow(_meet, _FOUND), slim=False)
-    pairs, n_pairs = scratch.cut_and_count(found.where("kind = 0").select("a", "b").distinct())
-    groups = scratch.cut(found.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node")))
-    sparse = found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("g")).distinct()
-    rows = found.where("kind = 3").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("node"))
-    nodes = scratch.cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(sparse.select("node")).distinct())
-    sets = _sets(docs, words, nodes, scratch)
-    merger = Merger(nodes, Checker(sets, percent, scratch))
-    tidied(spark)
-    merger.add(pairs, n_pairs)
-    common = merger.work_off(groups, ROUNDS)
-    rescued, n = scratch.cut_and_count(_second_index(sets, common, sparse, bands), slim=False)
-    seed = 1
-    while n:
-        large = rescued.groupBy("g").agg((F.count(F.lit(1)) > IN_BLOCKS).alias("_large"))
-        dealt = rescued.join(F.broadcast(large), "g")
-        merger.add(*_in_blocks(dealt.where("not _large").select("node", "g"), sets, merger.labels, percent, scratch))
-        near = scratch.cut(_neighbourhoods(dealt.where("_large").select("node", "g", "tokens"), bands, seed))
-        shared = scratch.cut(near.where("hash is not null").select("hash", "node"))
-        split = merger.work_off(shared, ROUNDS).select("node", F.expr("hash & 255L").alias("g"))
-        merger.add(*_in_blocks(split, sets, merger.labels, percent, scratch))
-        rescued, n = scratch.cut_and_count(near.where("hash is null").select("node", "g").join(rescued, ["node", "g"]).select("node", "g", "tokens"), slim=False)
-        seed += 1
-    at = rows.join(merger.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = at.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = at.join(own, "label").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "label")
-    out = stored(out, shared_path(spark, "joined"))
-    scratch.close()
+    """(doc_id, n_shingles, component_id, node, label) for each row of ``docs`` (doc_id, text); a label names a component."""
+    spark, bands = docs.sparkSession, Bands(percent)
+    with clean_shuffles(spark):
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        ranges = max(8, size // 16 // RANGE + 1)
+        scratch, own = Scratch(spark), nodes_of(docs)
+        rows = docs.select("doc_id", own, "text")
+        id_type = rows.schema["doc_id"].dataType
+        empty = pa.schema([("doc_id", to_arrow_type(id_type)), ("node", pa.int64()), ("n", pa.int64())])
+        found = _index(rows, words, bands, ranges).groupBy("range").applyInArrow(_meet(empty), f"kind byte, a bigint, b bigint, doc_id {id_type.simpleString()}")
+        found = scratch.cut(found, slim=False)
+        pairs, n_pairs = scratch.cut_and_count(found.where("kind = 0").select("a", "b").distinct())
+        groups, n_groups = scratch.cut_and_count(found.where("kind = 1").select(F.col("a").alias("hash"), F.col("b").alias("node")))
+        sparse = found.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("g")).distinct()
+        nodes, n_nodes = scratch.cut_and_count(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(sparse.select("node")).distinct())
+        merger = Merger(nodes, n_nodes, Checker(_sets(rows.select("_node", "text"), words, nodes, n_nodes, scratch), percent, scratch))
+        merger.add(pairs, n_pairs)
+        common = merger.work_off(groups, n_groups, ROUNDS)
+        # The documents that may have too much in common with others: those with common subsets, and sparse ones.
+        hot = common.groupBy("node", F.expr("hash & 255L").alias("g")).agg(F.collect_list("hash").alias("hot"))
+        asked = hot.join(sparse, ["node", "g"], "full").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)"))).join(merger.check.sets.drop("parity"), "node")
+        left, n = scratch.cut_and_count(_going_on(asked, bands, 0), slim=False)
+        level = 0
+        while n and level < TOKENS:
+            level += 1
+            shared, n_shared = scratch.cut_and_count(_level(left, bands, level))
+            common = merger.work_off(shared, n_shared, ROUNDS)
+            hot = common.groupBy("node", F.expr("hash & 255L").alias("g")).agg(F.collect_list("hash").alias("hot"))
+            asked = left.join(hot, ["node", "g"], "left").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)")))
+            left, n = scratch.cut_and_count(_going_on(asked, bands, level), slim=False)
+        if n:
+            merger.finish(*scratch.cut_and_count(_rarest(common, left, bands)), bands)
+        out = stored(_named(found, merger, scratch), shared_path(spark, "joined"))
+        scratch.close()
     return out
 
 
+def _named(found: DataFrame, merger: Merger, scratch: Scratch) -> DataFrame:
+    """Rows with the smallest id of their component. Texts and components that most rows share are dealt over parts."""
+    rows = found.where("kind = 3").select("doc_id", F.col("a").alias("n_shingles"), F.col("b").alias("node"))
+    texts = rows.groupBy("node").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows")).join(merger.labels, "node", "left").where("_rows > 1 or label is not null")
+    texts, n = scratch.cut_and_count(texts.select("node", F.coalesce("label", "node").alias("label"), "_least", "_rows"), slim=False)
+    own = texts.groupBy("label").agg(F.min("_least").alias("component_id"), F.sum("_rows").alias("_all"))
+    texts = met(texts.select("node", "label"), own.select("label", "component_id"), "label", n, F.xxhash64("node"))
+    total = rows.count()
+    named = met(rows, texts.withColumn("_met", F.lit(True)), "node", total, how="left")
+    component = F.when((F.col("n_shingles") == 0) | F.col("_met").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), "node", F.coalesce("label", "node").alias("label"))
+
+
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of ``docs`` for each group of near duplicates: the one of smallest (doc_id, node), nulls last.
 
-    Texts without a word are in no group: all such rows stay. Of rows equal in doc_id and text one stays.
+    Texts without a word are in no group: all such rows stay. Of rows equal in doc_id and text one stays, the one whose other
+    columns have the smallest hash, so reruns agree. Columns may have any names.
     """
     found = join(docs, words, percent).where("n_shingles > 0")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "node")).alias("_f"))
     kept = first.select(F.col("_f.doc_id").alias("_id"), F.col("_f.node").alias("_kept"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), _node(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
+    own = nodes_of(docs)
+    rows = docs.select(row_of(docs).alias("_row"), tie_of(docs).alias("_tie"), F.col("doc_id").alias("_doc"), own, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
     some = rows.where("_worded").join(kept, (F.col("_node") == F.col("_kept")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
-    one = some.groupBy("_node", "_doc").agg(F.first("_row").alias("_row")).select("_row")
-    whole = one.unionByName(rows.where("not _worded").select("_row"))
-    return whole.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    one = some.groupBy("_node", "_doc").agg(F.min_by("_row", "_tie").alias("_row")).select("_row")
+    return unpacked(one.unionByName(rows.where("not _worded").select("_row")), docs)
 
 
 #: The same by all pairs that share a shingle; for small tables.

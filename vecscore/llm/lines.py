@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, removed, shared_path, stored
+from ..sources.shared import removed, shared_path, stored
+from .common import cut
 
 WINDOW = 3
 _HAS_WORD = r"[^\\x20\\x09-\\x0D]"

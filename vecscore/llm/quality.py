@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 NGRAM = 3
 BITS = 14
@@ -87,7 +87,6 @@ def base(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, int, int,
 
 def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: float) -> np.ndarray:
     """log p_trusted - log p_raw of each bucket, then of each place in a run."""
-    small_batches(docs.sparkSession)
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", "text")
     if ids.limit(trusted_docs + 1).count() <= trusted_docs:
@@ -99,7 +98,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS + RUNS), np.int64)
-        for b in batches:
+        for b in slices(batches):
             for raw_side, trusted, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text:
                     raw = text.encode()
@@ -131,7 +130,7 @@ def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_do
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n, failed, kept, score = verdicts(b.column(1).to_pylist(), sent.value, threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, n.T.copy()), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *names, "base_failed", "kept", "score"])
 
@@ -146,7 +145,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_do
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(verdicts(b.column(at).to_pylist(), sent.value, threshold)[2]))
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

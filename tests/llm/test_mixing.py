@@ -76,6 +76,23 @@ def test_mixed_documents(spark):
     assert got == {k: v for k, v in times.items() if v}
 
 
+def test_mixed_rows_keep_their_source_and_columns(spark):
+    """One text under two sources, rows equal but for other columns, names that clash: each row as often as it is taken."""
+    schema = "doc_id bigint, text string, source string, _copy int, _key string, _id int, _row string, _times int, tie int"
+    rows = [(1, "a b c", "x", 7, "k", 8, "r", 9, 1), (1, "a b c", "y", 7, "k", 8, "r", 9, 1)] + [(2, "d e", "y", i, None, i, "r", 9, i) for i in range(4)]
+    rows += [(3, "f g " * 40, "y", 0, "k", 0, "r", 0, 0)] * 2 + [(None, "h", None, 1, "k", 1, "r", 1, 1), (4, None, "x", 0, "k", 0, "r", 0, 0)]
+    d = spark.createDataFrame(rows, schema)
+    outs = [sorted(map(str, mixing.mixed_documents(d.repartition(n)).collect())) for n in (1, 4)]
+    assert outs[0] == outs[1]
+    plan = [(r.doc_id, r.source, r.size, -(-r.taken // r.size)) for r in mixing._mixed(mixing._rows(d, 11, F.lit(0).cast("long")), (5, 2, 1), 1.5, 2).collect() if r.size]
+    got = [(r.doc_id, r.source) for r in mixing.mixed_documents(d).collect()]
+    for i, s in {(p[0], p[1]) for p in plan}:
+        assert got.count((i, s)) == sum(p[3] for p in plan if p[:2] == (i, s)), (i, s)
+    assert got.count((1, "x")) == 2 and set(outs[0]) <= set(map(str, d.collect()))
+    long = spark.createDataFrame([(1, "w " * 400_000, "x"), (2, "v", "x")], "doc_id bigint, text string, source string")
+    assert sum(r.taken for r in mixing.mix(long).collect()) == int(1.5 * 400_001)
+
+
 def test_empty(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
     assert mixing.mixed_documents(docs(spark, [])).collect() == []

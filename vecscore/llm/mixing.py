@@ -12,7 +12,9 @@ ranges of each source, and a window inside one (source, range) finishes the dist
 
 Nulls: a null text has size 0 and nothing is taken of it; a null source is a source of its own, last in
 order; a null id is hashed as an empty string. Rows equal in id, source and text are counted first and stand next to each other.
-A source without words gets target 0. An empty table gives an empty result. Other columns are not read.
+A source without words gets target 0. An empty table gives an empty result. A very long text is one row of a few numbers
+after its first reading. Other columns are not read by :func:`mix`; :func:`mixed_documents` keeps them, whatever their names, and
+lets rows equal but for them follow a hash of them, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, each_copy, word_count
+from .common import cut, each_copy, row_of, tie_of, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 PREFIX = 3
@@ -49,10 +51,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, repeats: i
     return s.withColumn("_water", level).select("source", "source_size", F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_water") * F.col("_w"))).alias("target"))
 
 
+def _rows(docs: DataFrame, seed: int, tie: Column) -> DataFrame:
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"), tie.alias("tie"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 11) -> DataFrame:
     """(doc_id, size, source_size, target, taken, key) for each row of ``docs`` (doc_id, text, source); key names the row's text and id."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(seed).alias("key"))
-    kinds = cut(rows.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("copies")).withColumn("_range", F.substring("key", 1, PREFIX)))
+    return _mixed(_rows(docs, seed, F.lit(0).cast("long")), weights, share, repeats).drop("source", "tie")
+
+
+def _mixed(rows: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
+    """(doc_id, source, size, key, tie, source_size, target, taken) for each of ``rows`` (doc_id, source, size, key, tie)."""
+    kinds = cut(rows.groupBy("doc_id", "source", "size", "key", "tie").agg(F.count(F.lit(1)).alias("copies")).withColumn("_range", F.substring("key", 1, PREFIX)))
     words = F.col("size") * F.col("copies")
     ranges = cut(kinds.groupBy("source", "_range").agg(F.sum(words).alias("_words")))
     to = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, repeats)
@@ -60,31 +70,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     starts = ranges.withColumn("_start", F.sum("_words").over(along) - F.col("_words")).join(to.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
         F.col("source").alias("_source"), F.col("_range").alias("_in"), "_start", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "_range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = kinds.withColumn("_inside", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_in")))
     most = kinds.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0]
-    each = each_copy(placed.select("doc_id", "source", "size", "key", "copies", "source_size", "target", (F.col("_start") + F.col("_inside")).alias("_first")), "copies", "_copy", most)
+    each = each_copy(placed.select("doc_id", "source", "size", "key", "tie", "copies", "source_size", "target", (F.col("_start") + F.col("_inside")).alias("_first")), "copies", "_copy", most)
     before = F.col("_first") + F.col("_copy") * F.col("size")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     left = F.floor("target").cast("long") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - before))
-    return each.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
+    return each.select("doc_id", "source", "size", "key", "tie", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, repeats: int = 2, seed: int = 11) -> DataFrame:
-    """The mix as rows of ``docs``: a document stands once for each time it is taken, whole.
+    """The mix as rows of ``docs``: a document stands once for each time it is taken, whole, under its own source.
 
     The document a cut goes through is written whole, so a source exceeds its target by less than one document.
     """
-    plan = mix(docs, weights, share, repeats, seed).select(
-        F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.expr("case when size > 0 then cast(ceil(taken / size) as int) else 0 end").alias("_times")
-    )
-    # Rows equal in id and text share a key; the times of all of them are dealt out over one row.
-    times = plan.groupBy("_id", "_key").agg(F.sum("_times").alias("_times")).where("_times > 0")
-    one = docs.withColumn("_key", _key(seed)).dropDuplicates(["doc_id", "_key"])
+    tie = tie_of(docs, "doc_id", "source")
+    plan = _mixed(_rows(docs, seed, tie), weights, share, repeats).withColumn("_times", F.expr("case when size > 0 then cast(ceil(taken / size) as int) else 0 end"))
+    # Rows equal in every column are one kind; the times of all of them are dealt out over one row.
+    times = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("key").alias("_k"), F.col("tie").alias("_t")).agg(F.sum("_times").alias("_times")).where("_times > 0")
+    one = docs.select(row_of(docs).alias("_row"), F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), _key(seed).alias("_key"), tie.alias("_tie")).dropDuplicates(["_doc", "_source", "_key", "_tie"])
     most = times.agg(F.coalesce(F.max("_times"), F.lit(0))).first()[0]
-    joined = one.join(times.withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return each_copy(joined, "_times", "_copy", most).select(*docs.columns)
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_key") == F.col("_k")) & (F.col("_tie") == F.col("_t"))
+    return unpacked(each_copy(one.join(times, same).select("_row", "_times", "_key", "_tie"), "_times", "_copy", most), docs)
 
 
 MIX_SQL = r"""

@@ -72,19 +72,40 @@ def test_decoder_carries_bytes_over(v):
     assert d.feed(ids[:1]) + d.flush() == "�"
 
 
-def test_memo_is_bounded(v, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 5)
-    memo = bpe.encoder(v)
-    t = " ".join(f"w{i}x" for i in range(100))
-    assert bpe.round_trip(v, t, memo)[0] == sum(len(bpe._long(v, p)) for p in bpe.PATTERN.findall(t))
+def test_memo_is_bounded_in_bytes(v, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 5000)
+    memo = bpe.encoder.__wrapped__(v)
+    t = " ".join(f"w{i}x" for i in range(1000))
+    assert bpe.round_trip(v, t, memo)[0] == sum(len(v.merge(p.encode())) for p in bpe.PATTERN.findall(t))
+    assert len(memo) + len(memo.old) < 50
 
 
-def test_long_pieces_are_streamed(v, library):
-    memo = bpe.encoder.__wrapped__(v)
-    t = "x " + "ab" * 9000 + " y"
+def test_long_pieces_are_streamed_and_not_kept(v, library):
+    memo, numbers = bpe.encoder.__wrapped__(v), bpe.counter.__wrapped__(v)
+    t = "x " + "ab" * 9000 + " y " + "q" * 100
     want = library.encode(t, add_special_tokens=False).ids
     assert bpe.round_trip(v, t, memo)[:2] == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
-    assert memo and max(map(len, memo)) < 2 * v.look
+    assert bpe.count(v, t, numbers) == len(want)
+    assert memo and max(map(len, memo)) <= bpe.KEPT and max(map(len, set(numbers) - set(v.whole)), default=0) <= bpe.KEPT
+
+
+def test_memory_does_not_grow_with_a_pre_token(v, monkeypatch):
+    """Of ten million letters in one pre-token the transducer holds two lookaheads, emits runs no longer, and keeps nothing."""
+    held, runs = [0], [0]
+    feed, merge = bpe.Transducer.feed, v.merge
+    monkeypatch.setattr(v, "merge", lambda raw: merge(raw[:0]) or [v.first[b] for b in raw])  # a list of ids as long, made faster
+
+    def watched(self, raw):
+        for ids in feed(self, raw):
+            runs[0] = max(runs[0], len(ids))
+            yield ids
+        held[0] = max(held[0], len(self.held))
+
+    monkeypatch.setattr(bpe.Transducer, "feed", watched)
+    memo = bpe.encoder.__wrapped__(v)
+    n, _, text = bpe.round_trip(v, "ab" * 5_000_000, memo)
+    assert n == 10_000_000 and text == hashlib.sha256(b"ab" * 5_000_000).hexdigest()
+    assert 0 < held[0] <= 2 * v.look and 0 < runs[0] <= 2 * v.look and not memo
 
 
 def test_operators(spark, library):

@@ -6,10 +6,12 @@ Two operators share the parts here.
 through the merges; those that come out as one token are proven, and their pre-tokens count 1 without merging.
 All other pre-tokens are merged.
 
-``encode_decode`` (streaming transducer): a pre-token is fed to a transducer that holds at most two lookaheads of
+``encode_decode`` (streaming transducer): every pre-token is fed to a transducer that holds at most two lookaheads of
 bytes. What it has merged is final up to the merge list's sufficient lookahead before the end of what it has seen
-(:func:`lookahead`); that is emitted and forgotten. Ids are hashed as they come; the decoder turns them back
-into text with a byte-to-text state machine that carries an unfinished character over.
+(:func:`lookahead`), or up to the pre-token's end, whichever comes first; that is emitted and forgotten. Ids are hashed
+as they come; the decoder turns them back into text with a byte-to-text state machine that carries an unfinished
+character over. What the transducer gives for a pre-token of up to KEPT characters is remembered, up to a number of
+bytes; of longer ones nothing is kept, neither ids nor text, so memory does not grow with a pre-token.
 
 Texts are cut into windows at points where a pre-token surely ends, so lists of pre-tokens stay short however long
 a text is. Nulls: a null text is empty (0 tokens, hashes of nothing); null ids pass through. An empty table
@@ -33,9 +35,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import slices
+
 WINDOW = 1 << 17
-#: Entries that each of the two generations of a memo of merged pre-tokens may hold.
-MEMO = 300_000
+#: Bytes, about, that each of the two generations of a memo of merged pre-tokens may hold, and characters of what it keeps.
+MEMO, KEPT = 32 << 20, 64
 #: The pre-tokenizer's pattern (fixed value of the byte-level BPE format).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A pre-token ends before each match: a letter, digit or black run is over there, whatever follows.
@@ -212,41 +216,52 @@ def vocabulary(spec: str) -> Vocabulary:
 
 
 class _Memo(dict):
-    """What merging a pre-token gives. A full generation becomes the old one; what is met again moves to the new."""
+    """What the transducer gives for a short pre-token. A full generation becomes the old one; what is met again moves to the new."""
 
     def __init__(self, make, known=()):
         super().__init__(known)
-        self.make, self.known, self.old = make, dict(known), {}
+        self.make, self.known, self.old, self.held = make, dict(known), {}, 0
 
     def __missing__(self, piece: str):
-        if len(self) > MEMO + len(self.known):
+        if self.held > MEMO:
             self.old = dict(self)
             self.clear()
             self.update(self.known)
+            self.held = 0
         made = self.old.get(piece)
         self[piece] = made = self.make(piece) if made is None else made
+        self.held += 250 + 20 * len(piece)  # an entry, its text, its ids and their decimals
         return made
 
 
-def _long(v: Vocabulary, piece: str) -> list[int]:
-    """Ids of one pre-token, through the transducer; what it would only hold until the end is merged at once."""
-    raw = piece.encode()
-    if len(raw) < 2 * v.look:
-        return v.merge(raw)
-    t, ids = Transducer(v), []
-    for some in t.feed(raw):
-        ids += some
-    return ids + t.flush()
+def emitted(v: Vocabulary, piece: str) -> Iterator[list[int]]:
+    """Ids of one pre-token as the transducer gives them."""
+    t = Transducer(v)
+    for at in range(0, len(piece), v.look):
+        yield from t.feed(piece[at : at + v.look].encode())
+    yield t.flush()
+
+
+def _counted(v: Vocabulary, piece: str) -> int:
+    return sum(map(len, emitted(v, piece)))
 
 
 def count(v: Vocabulary, text: str, memo: _Memo) -> int:
-    return sum(1 if isinstance(w, int) else sum(map(memo.__getitem__, w)) for w in v.windows(text))
+    n = 0
+    for w in v.windows(text):
+        if isinstance(w, int):
+            n += 1
+        elif max(map(len, w), default=0) <= KEPT:
+            n += sum(map(memo.__getitem__, w))
+        else:
+            n += sum(memo[piece] if len(piece) <= KEPT or piece in memo.known else _counted(v, piece) for piece in w)
+    return n
 
 
 @functools.lru_cache(maxsize=2)
 def counter(v: Vocabulary) -> _Memo:
-    """Memo of pre-token -> how many tokens it is; one for all tasks of a process."""
-    return _Memo(lambda piece: len(_long(v, piece)), dict.fromkeys(v.whole, 1))
+    """Memo of pre-token -> how many tokens it is, the proven ones known beforehand; one for all tasks of a process."""
+    return _Memo(lambda piece: _counted(v, piece), dict.fromkeys(v.whole, 1))
 
 
 @functools.lru_cache(maxsize=2)
@@ -254,7 +269,7 @@ def encoder(v: Vocabulary) -> _Memo:
     """Memo of pre-token -> (its ids, the same in decimal with commas); one for all tasks of a process."""
 
     def make(piece: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(_long(v, piece))
+        ids = tuple(itertools.chain.from_iterable(emitted(v, piece)))
         return ids, ",".join(map(str, ids))
 
     return _Memo(make)
@@ -262,18 +277,15 @@ def encoder(v: Vocabulary) -> _Memo:
 
 def _pieces(v: Vocabulary, w: list[str], memo: _Memo) -> Iterator[tuple[list[int], str]]:
     """(ids, the same in decimal with commas) of a window's pre-tokens; long ones as they come out of the transducer."""
-    least = 2 * v.look
-    if 4 * max(map(len, w), default=0) < least:
+    if max(map(len, w), default=0) <= KEPT:
         found = list(map(memo.__getitem__, w))
         yield list(itertools.chain.from_iterable(map(_IDS, found))), ",".join(map(_DECIMAL, found))
         return
     for piece in w:
-        raw = piece.encode()
-        if len(raw) < least:
+        if len(piece) <= KEPT:
             yield memo[piece]
             continue
-        t = Transducer(v)
-        for ids in itertools.chain(t.feed(raw), map(Transducer.flush, [t])):
+        for ids in emitted(v, piece):
             yield ids, ",".join(map(str, ids))
 
 
@@ -297,9 +309,7 @@ def encode(v: Vocabulary, text: str) -> Iterator[list[int]]:
             yield [w]
             continue
         for piece in w:
-            t = Transducer(v)
-            yield from t.feed(piece.encode())
-            yield t.flush()
+            yield from emitted(v, piece)
 
 
 def _spec(path: str) -> str:
@@ -314,7 +324,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(spec.value)
         memo = counter(v)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [count(v, t, memo) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
@@ -330,7 +340,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(spec.value)
         memo = encoder(v)
-        for b in batches:
+        for b in slices(batches):
             n, ids, text = zip(*(round_trip(v, t or "", memo) for t in b.column(1).to_pylist())) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -344,7 +354,7 @@ def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(spec.value)
-        for b in batches:
+        for b in slices(batches):
             ids = [[i for some in encode(v, t or "") for i in some] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -88,7 +88,7 @@ def test_common_subsets_and_almost_linked_groups(spark, monkeypatch, few, rounds
     monkeypatch.setattr(J, "SMALL", sample)
     ended = []
     finish = J.Merger.finish
-    monkeypatch.setattr(J.Merger, "finish", lambda self, groups, n, bands: (ended.append(n), finish(self, groups, n, bands)))
+    monkeypatch.setattr(J.Merger, "finish", lambda self, left, bands: (ended.append(1), finish(self, left, bands)))
     r = random.Random(8)
     base = [f"b{k}" for k in range(120)]
     rows = []
@@ -115,7 +115,7 @@ def test_levels_lose_no_link():
             y = np.sort(np.concatenate((x[away // 2 :], r.integers(0, 2**63, away - away // 2, dtype=np.uint64))))
             if not (bands.lo[g] <= len(y) <= bands.partner[g]):
                 continue
-            for level in range(J.TOKENS + 1):
+            for level in (0, 1):
                 (sx, hx, ox), (sy, hy, oy) = (J.level_hashes(t, bands, g, level) for t in (x, y))
                 met = set(ox[np.isin(hx, hy)].tolist())
                 assert len(met) > max(sx, sy) or sx < 0 or sy < 0, (n, level)

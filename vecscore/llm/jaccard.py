@@ -12,20 +12,18 @@ difference of one: all subsets and their one-deletion neighbourhoods, a row for
 and tells far more than subsets of three or four tokens would. Larger sets take one row a segment.
 
 x_g pays for segments that tell nothing: empty ones, and *common* subsets that many unlike documents share.
-A pair is lost only if both documents have more than x_g of these. Such documents, and only they, go on to the next
-level, which costs a row for each of their tokens: half as many segments, with one-deletion neighbourhoods; then single
-tokens, where a document is done if fewer of its tokens are common than it must share with a linked one. Sets whose
-segments would hold too few tokens skip to that.
-
-What even this leaves are documents that share nearly all of their tokens with many unlike ones, such as copies of one
-text with more changes than the threshold allows. They meet by the rarest of their common tokens, and each such group
-is described by its *base*, the tokens that most members of a sample have, and by what each member differs from it.
-Two linked members either share a difference, then one of the first H_g + 1 in a fixed order, or none, and
-then both link with the member that is cheapest by its differences, x extra and y missing tokens: with
-a = (1 - t) / (1 + t) sets of disjoint differences link if and only if their costs, (1 - a) x + (1 + a) y, are together
-at most 2 a |base|. So that member is compared with all others, and the groups that share a difference go round again. A
-difference is what fewer than half have, so groups halve; those of at most SMALL members are compared among
-themselves by parities. That is exact for any base.
+A pair is lost only if both documents have more than x_g of these. Such documents, and only they, go on to a second
+index, which costs a row for each of their tokens: half as many segments, with one-deletion neighbourhoods. Sets whose
+segments would hold too few tokens skip it.
+
+What even this leaves are documents that share much with many unlike ones, such as copies of one text with more
+changes than the threshold allows. The ones of a band are a group. A group of at most SMALL members is compared by
+parities in one task. A larger one is described by its *base*, the tokens that most members of a sample have, and by
+what each member differs from it. Two linked members either share a difference, then one of the first H_g + 1 in a
+fixed order, or none, and then both link with the member that is cheapest by its differences, x extra and y missing
+tokens: with a = (1 - t) / (1 + t) sets of disjoint differences link if and only if their costs, (1 - a) x + (1 + a) y, are
+together at most 2 a |base|. So that member is compared with all others, and the members that share a difference are
+the next groups. A difference is what fewer than half have, so groups halve. That is exact for any base.
 
 Candidates are not all pairs of those that share a subset. The group's smallest member is compared with all
 others, links are merged to components, and only what is still in different components goes on: members outside the
@@ -55,7 +53,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -73,10 +71,8 @@ FEW, ROUNDS = 8, 1
 _FLUSH, LOCAL = 1_000_000, 8
 #: Differences up to which a band's first index takes one-deletion neighbourhoods: sets of about twenty tokens.
 WIDE = 3
-#: Tokens that a segment of a neighbourhood should hold on average; single tokens are indexed instead where it would be fewer.
+#: Tokens that a segment of the second index should hold on average; where it would be fewer, a band has none.
 FULL = 4
-#: The level at which every band is indexed by single tokens.
-TOKENS = 2
 #: Members of a group, about, whose majority makes its base; and members up to which a group is compared in one task.
 SAMPLE, SMALL = 64, 256
 _U = np.uint64
@@ -140,13 +136,9 @@ class Bands:
     def segments_wide(self, g: int) -> int:
         return self.differ[g] // 2 + 1 + self.spare_wide(g)
 
-    def by_token(self, g: int, level: int) -> bool:
-        """Whether band ``g`` is indexed by single tokens at ``level``."""
-        return level >= TOKENS or self.wide(g) or self.lo[g] < FULL * self.segments_wide(g)
-
-    def shared(self, n: int) -> int:
-        """Tokens that a set of ``n`` must share with a linked one, at least."""
-        return -(-self.percent * n // 100)
+    def second(self, g: int) -> bool:
+        """Whether band ``g`` has a second index."""
+        return not self.wide(g) and self.lo[g] >= FULL * self.segments_wide(g)
 
 
 def _subsets(tokens: np.ndarray, m: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,9 +180,7 @@ def neighbourhood_hashes(tokens: np.ndarray, bands: Bands, g: int, seed: int) ->
 
 
 def level_hashes(tokens: np.ndarray, bands: Bands, g: int, level: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(segments to spare that are left, hashes, segment of each) in band ``g`` at ``level``, from 0."""
-    if level and bands.by_token(g, level):
-        return bands.shared(len(tokens)) - 1, _signed(_mixed(tokens), np.zeros(1, np.uint64), g), np.arange(len(tokens), dtype=np.uint64)
+    """(segments to spare that are left, hashes, segment of each) in band ``g``: of the first index (level 0) or the second (1)."""
     if level or bands.wide(g):
         poor, hashes, of = neighbourhood_hashes(tokens, bands, g, level)
         return bands.spare_wide(g) - poor, hashes, of
@@ -486,22 +476,17 @@ class Merger:
             self.add(*self.scratch.cut_and_count(few.union(many).distinct()))
             groups, n = self.scratch.cut_and_count(open_.where("not _few and node <> _centre").select("hash", "node"))
 
-    def finish(self, groups: DataFrame, n: int, bands: Bands) -> None:
-        """Work off the ``n`` rows of groups (hash, node) to the end, by what members differ from their group's base."""
-        first = True
+    def finish(self, left: DataFrame, bands: Bands) -> None:
+        """Work off the members (node, g) of each band against each other, to the end."""
+        groups, n = self.scratch.cut_and_count(left.select(F.col("g").alias("hash"), "node"))
         while n:
             at = groups.join(self.labels, "node")
-            split = at.groupBy("hash").agg(F.min("node").alias("_by"), F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("hash", "_by")
-            # Nearly the same documents share most of their tokens: groups of tokens with the same smallest member are taken as one.
-            key, first = F.xxhash64("_by", F.expr("hash & 255L")) if first else F.col("hash"), False
-            members = self._with(at, split, "hash", n, "node").select(F.expr("hash & 255L").alias("g"), key.alias("key"), "node", "label")
-            members, n = self.scratch.cut_and_count(members.distinct())
+            split = at.groupBy("hash").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_size")).where("_low <> _high").select("hash", "_size")
+            members, n = self.scratch.cut_and_count(self._with(at, split, "hash", n, "node").select(F.expr("hash & 255L").alias("g"), F.col("hash").alias("key"), "node", "label", "_size"))
             if not n:
                 return
-            sizes = self.scratch.cut(members.groupBy("key").agg(F.count(F.lit(1)).alias("_size")))
-            few = members.join(sizes.where(F.col("_size") <= SMALL), "key")
-            self.add(*self.scratch.cut_and_count(_near(few, self.check.sets, self.check.percent).distinct()))
-            many, n = self.scratch.cut_and_count(self._with(members, sizes.where(F.col("_size") > SMALL), "key", n, "node"))
+            self.add(*self.scratch.cut_and_count(_near(members.where(F.col("_size") <= SMALL), self.check.sets, self.check.percent).distinct()))
+            many, n = self.scratch.cut_and_count(members.where(F.col("_size") > SMALL))
             if not n:
                 return
             sets = self.check.sets.select("node", "tokens")
@@ -578,28 +563,19 @@ def _going_on(asked: DataFrame, bands: Bands, level: int) -> DataFrame:
     return asked.select("node", "g", "hot", "n", "tokens").mapInArrow(run, _SET)
 
 
-def _level(left: DataFrame, bands: Bands, level: int) -> DataFrame:
-    """(hash, node) of (node, g, n, tokens): what is indexed at ``level``."""
+def _second(left: DataFrame, bands: Bands) -> DataFrame:
+    """(hash, node) of (node, g, n, tokens): the second index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for node, g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
-                _, hashes, _ = level_hashes(np.frombuffer(raw.as_buffer(), np.uint64), bands, g, level)
+                _, hashes, _ = level_hashes(np.frombuffer(raw.as_buffer(), np.uint64), bands, g, 1)
                 values = np.unique(hashes).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), node, np.int64))], ["hash", "node"])
 
     return left.mapInArrow(run, "hash bigint, node bigint")
 
 
-def _rarest(common: DataFrame, left: DataFrame, bands: Bands) -> DataFrame:
-    """(hash, node): of the common tokens of each (node, g, n) as many of the rarest as hold one that a linked set shares."""
-    most = F.col("n") - F.ceil(bands.percent * F.col("n") / 100) + 1
-    mine = common.withColumn("g", F.expr("hash & 255L")).join(left.select("node", "g", "n"), ["node", "g"])
-    counted = mine.join(mine.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")), "hash")
-    by = Window.partitionBy("node", "g").orderBy("_n", "hash")
-    return counted.withColumn("_at", F.row_number().over(by)).where(F.col("_at") <= most).select("hash", "node")
-
-
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, node, label) for each row of ``docs`` (doc_id, text); a label names a component."""
     spark, bands = docs.sparkSession, Bands(percent)
@@ -623,16 +599,14 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         hot = common.groupBy("node", F.expr("hash & 255L").alias("g")).agg(F.collect_list("hash").alias("hot"))
         asked = hot.join(sparse, ["node", "g"], "full").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)"))).join(merger.check.sets.drop("parity"), "node")
         left, n = scratch.cut_and_count(_going_on(asked, bands, 0), slim=False)
-        level = 0
-        while n and level < TOKENS:
-            level += 1
-            shared, n_shared = scratch.cut_and_count(_level(left, bands, level))
+        if n:
+            one = scratch.cut(left.where(F.col("g").isin([g for g in range(len(bands.lo)) if bands.second(g)])), slim=False)
+            shared, n_shared = scratch.cut_and_count(_second(one, bands))
             common = merger.work_off(shared, n_shared, ROUNDS)
             hot = common.groupBy("node", F.expr("hash & 255L").alias("g")).agg(F.collect_list("hash").alias("hot"))
-            asked = left.join(hot, ["node", "g"], "left").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)")))
-            left, n = scratch.cut_and_count(_going_on(asked, bands, level), slim=False)
-        if n:
-            merger.finish(*scratch.cut_and_count(_rarest(common, left, bands)), bands)
+            asked = one.join(hot, ["node", "g"], "left").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)")))
+            rest = left.where(~F.col("g").isin([g for g in range(len(bands.lo)) if bands.second(g)]))
+            merger.finish(_going_on(asked, bands, 1).unionByName(rest), bands)
         out = stored(_named(found, merger, scratch), shared_path(spark, "joined"))
         scratch.close()
     return out

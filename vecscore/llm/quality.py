@@ -1,16 +1,15 @@
 """Quality rules: a hashed n-gram log-likelihood ratio between trusted text and the raw corpus, beside base counts.
 
-Byte n-grams of NGRAM bytes are hashed to BUCKETS; word n-grams are reduced to their shape, the place of a word in
-a run of equal words (RUNS of them). Each kind has two multinomials: one counted over every document (raw),
-one over trusted ones, ids that ``labels`` gives quality 1. The score of a document is the mean over its byte
-n-grams of log p_trusted - log p_raw, plus the same mean over its words, so length does not matter; a document is
-kept if it passes the base rules and its score is at least ``threshold``. The trusted multinomial is drawn towards the
-raw one by ``smooth`` n-grams of it, so a small trusted corpus says little about what it has not seen. The threshold
-is fixed, so the verdict depends on the document and the two multinomials only.
+Byte n-grams of NGRAM bytes and word n-grams of one and two words are hashed to BUCKETS each. Each kind has two
+multinomials: one counted over every document (raw), one over trusted ones, ids that ``labels`` gives quality 1. The
+score of a document is the mean over its n-grams of a kind of log p_trusted - log p_raw, averaged over the kinds, so
+length does not matter; a document is kept if it passes the base rules and its score is at least ``threshold``. The
+trusted multinomial is drawn towards the raw one by ``smooth`` bytes of it, so a small trusted corpus says little
+about what it has not seen. The threshold is fixed, so the verdict depends on the document and the multinomials only.
 
 Both sides count all their documents. Up to ``trusted_docs`` trusted ids are broadcast, and no text is shuffled;
-of more, the trusted side is a join by id that Spark plans, which may shuffle the texts once. Tasks send BUCKETS sums
-at most.
+of more, the trusted side is a join by id that Spark plans, which may shuffle the texts once. Tasks send KINDS * BUCKETS
+sums at most. A very long text is read once, in memory of a few numbers for each of its bytes.
 
 Nulls: a null text is an empty one (0 words, rejected); a null id is never trusted; without trusted documents
 every score is 0 and the base rules decide alone. Equal rows get equal results, an empty table an empty one. Other
@@ -23,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,10 @@ from .common import slices
 NGRAM = 3
 BITS = 14
 BUCKETS = 1 << BITS
-RUNS = 8
+#: Kinds of n-grams: bytes, single words, pairs of words; and the bytes of text for each n-gram of a kind, about.
+KINDS = 3
+BYTES = (1, 6, 6)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed values of the base rules.
 SPACES, SYMBOLS, SPAN, LEAST_WORDS, REPEAT_PERCENT = b" \t\n\x0b\x0c\r", b"#*$%&|<>", 8, 20, 30
 
@@ -47,12 +50,16 @@ def grams(raw: bytes) -> np.ndarray:
     return (g * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
-def runs(words: list[bytes]) -> np.ndarray:
-    """For each word its place in the run of equal words it stands in, from 0 to RUNS - 1."""
-    same = np.fromiter((a == b for a, b in zip(words, words[1:])), np.bool_, max(0, len(words) - 1))
-    at = np.arange(len(words))
-    first = np.maximum.accumulate(np.where(np.concatenate(([False], same)) if len(words) else same, 0, at)) if len(words) else at
-    return np.minimum(at - first, RUNS - 1)
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of the pairs of neighbouring words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    pairs = (h[:-1] * _SPREAD) ^ (h[1:] + _SPREAD)
+    return h >> np.uint64(64 - BITS), (pairs * _SPREAD) >> np.uint64(64 - BITS)
+
+
+def every_gram(raw: bytes, words: list[bytes]) -> list[np.ndarray]:
+    """Buckets of a text's n-grams by kind, one range of BUCKETS after the other."""
+    return [g.astype(np.int64) + k * BUCKETS for k, g in enumerate((grams(raw), *word_grams(words)))]
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -86,7 +93,7 @@ def base(text: str, raw: bytes, words: list[bytes]) -> tuple[int, int, int, int,
 
 
 def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: float) -> np.ndarray:
-    """log p_trusted - log p_raw of each bucket, then of each place in a run."""
+    """log p_trusted - log p_raw of each bucket of each kind."""
     ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", "text")
     if ids.limit(trusted_docs + 1).count() <= trusted_docs:
@@ -97,12 +104,12 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
         rows = rows.select(F.lit(True).alias("raw"), F.lit(False).alias("trusted"), "text").unionByName(good.select(F.lit(False).alias("raw"), F.lit(True).alias("trusted"), "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS + RUNS), np.int64)
+        sums = np.zeros((2, KINDS * BUCKETS), np.int64)
         for b in slices(batches):
             for raw_side, trusted, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text:
                     raw = text.encode()
-                    n = np.concatenate((np.bincount(grams(raw), minlength=BUCKETS), np.bincount(runs(raw.split()), minlength=RUNS)))
+                    n = np.bincount(np.concatenate(every_gram(raw, raw.split())), minlength=KINDS * BUCKETS)
                     if raw_side:
                         sums[0] += n
                     if trusted:
@@ -111,17 +118,17 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "raw", "trusted"])
 
     counts = rows.mapInArrow(run, "bucket int, raw bigint, trusted bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted"))
-    raw, good = np.zeros(BUCKETS + RUNS), np.zeros(BUCKETS + RUNS)
-    for k, r, t in counts.collect():  # BUCKETS + RUNS rows at most
+    raw, good = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
+    for k, r, t in counts.collect():  # KINDS * BUCKETS rows at most
         raw[k], good[k] = r, t
     if not good.any():
-        return np.zeros(BUCKETS + RUNS)
+        return np.zeros(KINDS * BUCKETS)
 
-    def ratio(good: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    def ratio(good: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
         p = (raw + 1) / (raw.sum() + len(raw))
         return np.log((good + smooth * p) / (good.sum() + smooth)) - np.log(p)
 
-    return np.concatenate([ratio(good[k], raw[k]) for k in (slice(BUCKETS), slice(BUCKETS, None))])
+    return np.concatenate([ratio(good[k], raw[k], smooth / n) for k, n in ((slice(i * BUCKETS, (i + 1) * BUCKETS), n) for i, n in enumerate(BYTES))])
 
 
 def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 5_000.0) -> DataFrame:
@@ -158,8 +165,7 @@ def verdicts(texts: list[str | None], ratio: np.ndarray, threshold: float) -> tu
         raw = (text or "").encode()
         words = raw.split()
         counts.append(base(text or "", raw, words))
-        g = grams(raw)
-        scores.append(float((ratio[g].mean() if len(g) else 0.0) + (ratio[BUCKETS + runs(words)].mean() if words else 0.0)))
+        scores.append(float(sum(ratio[g].mean() for g in every_gram(raw, words) if len(g)) / KINDS))
     n, score = np.array(counts, np.int64).reshape(-1, 5), np.array(scores, np.float64)
     failed = (n[:, 0] < LEAST_WORDS) | (100 * n[:, 4] > REPEAT_PERCENT * n[:, 0])
     return n, failed, ~failed & (score >= threshold), score

@@ -10,9 +10,9 @@ the first in code-point order. The score is the winner's posterior under equal p
 
 Fitted on a bounded sample: of the documents that may be learned from (crc32 of the id's text mod 5 is not 0;
 text and lang not null), per language the ``sample_docs`` of
-smallest hash, those over ``long_bytes`` after all others, for the 1000 most frequent languages.
-The tables are bounded by that sample; they are the one thing sent to tasks. Every whole text is scored, in
-blocks of BLOCK bytes.
+smallest hash, those over ``long_bytes`` after all others, as far as their texts come to ``sample_bytes``; the last one
+is cut there. So a language's share of the tables is bounded in bytes, whatever its documents are; every language in the
+table is learned. The tables are the one thing sent to tasks. Every whole text is scored, in blocks of BLOCK bytes.
 
 Nulls: a null text, and one without a letter, gives ``und`` with score 0; a null id is neither held out nor
 learned from; without anything to learn from all is ``und``. Equal texts get equal predictions; an empty
@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ORDER = 4
 BLOCK = 1 << 20
 FOLDS = 5
@@ -156,15 +158,15 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, told)], [float(s) if ok else 0.0 for s, ok in zip(score, told)]
 
 
-def fit(docs: DataFrame, sample_docs: int = 300, long_bytes: int = 20_000, languages: int = 1000) -> Model:
-    """The model of the ``languages`` most frequent languages, on at most ``sample_docs`` documents of each.
+def fit(docs: DataFrame, sample_docs: int = 300, long_bytes: int = 20_000, sample_bytes: int = 1 << 20) -> Model:
+    """The model of all languages, on at most ``sample_docs`` documents and ``sample_bytes`` bytes of each.
 
     Counts come first; from them follows the share of a language's hash range that holds about four times the
     sample, so no more than that is ever ranked, however many documents a language has.
     """
     learn = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0))
     learn = learn.select("lang", "doc_id", "text", (F.octet_length("text") > long_bytes).alias("_long"), (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)).alias("_at"))
-    sizes = learn.groupBy("lang").agg(F.count_if(~F.col("_long")).alias("short"), F.count_if("_long").alias("long")).orderBy(F.desc(F.col("short") + F.col("long")), "lang").limit(languages)
+    sizes = learn.groupBy("lang").agg(F.count_if(~F.col("_long")).alias("short"), F.count_if("_long").alias("long"))
     cuts = []
     for lang, short, long in sizes.collect():
         cuts.append((lang, False, min(1.0, 4 * sample_docs / max(short, 1))))
@@ -172,8 +174,10 @@ def fit(docs: DataFrame, sample_docs: int = 300, long_bytes: int = 20_000, langu
     shares = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, _long boolean, _share double"))
     by = Window.partitionBy("lang").orderBy("_long", "_at", "doc_id")
     chosen = learn.join(shares, ["lang", "_long"]).where("_at < _share").withColumn("_rank", F.row_number().over(by)).where(F.col("_rank") <= sample_docs)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = chosen.withColumn("_before", before).where(F.col("_before") < sample_bytes)
     texts: dict[str, list[str]] = {}
-    for lang, text in chosen.select("lang", "text").orderBy("lang", "_rank").toLocalIterator():
+    for lang, text in within.select("lang", F.expr(f"left(text, int(least({sample_bytes} - _before, {sample_bytes})))").alias("text")).orderBy("lang", "_rank").toLocalIterator():
         texts.setdefault(lang, []).append(text)
     return Model(texts)
 
@@ -184,7 +188,7 @@ def identify(docs: DataFrame, sample_docs: int = 300, long_bytes: int = 20_000)
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lang, score = model.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import sq_l2, sq_l2_any
+from ..sources.shared import materialized
 
 #: Numbers of vectors (rows times dimension) that one broadcast block of queries may hold.
 BLOCK_NUMBERS = 1 << 20
@@ -51,14 +52,18 @@ def probes(queries: DataFrame, centroids: DataFrame, nprobe: int, d: int | None
     return top(pairs, nprobe, dist="dc", tie="cluster_id", rank="probe_rank")
 
 
-def _scan(probed: DataFrame, refs: DataFrame, d: int | None) -> DataFrame:
-    """Distances between queries and the references of their probed cells."""
-    return refs.join(probed, "cluster_id").select("qid", "ref_id", "is_fraud", distance("q", "vector", d).alias("dist"))
+def scan(probed: DataFrame, refs: DataFrame, d: int | None, *more: str) -> DataFrame:
+    """Distances between queries and the references of their probed cells. Probes are broadcast in blocks, references stay.
+
+    A stored index is partitioned by cell, so the cells of a block also prune its files.
+    """
+    found = [refs.join(F.broadcast(block), "cluster_id").select("qid", "ref_id", "is_fraud", *more, distance("q", "vector", d).alias("dist")) for block in blocks(probed.select("qid", "q", "cluster_id", *more), d)]
+    return reduce(DataFrame.union, found)
 
 
 def ivf_knn(refs: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int, k: int = 5, d: int | None = None) -> DataFrame:
     """As :func:`exact_knn`, over the references in the ``nprobe`` nearest cells of each query."""
-    return top(_scan(probes(queries, centroids, nprobe, d), refs, d), k).select("qid", "rank", "ref_id", "dist", "is_fraud")
+    return top(scan(materialized(probes(queries, centroids, nprobe, d)), refs, d), k).select("qid", "rank", "ref_id", "dist", "is_fraud")
 
 
 def pruned_probes(probed: DataFrame, refs: DataFrame, k: int, d: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +72,7 @@ def pruned_probes(probed: DataFrame, refs: DataFrame, k: int, d: int | None = No
     A cell is left out if even its nearest possible member, at distance sqrt(dc) - radius, is further than the k-th best
     found in the first cell. On equal distance it stays, since a tie may go to a smaller id inside.
     """
-    first = top(_scan(probed.where("probe_rank = 1"), refs, d), k).select("qid", "rank", "ref_id", "dist", "is_fraud")
+    first = materialized(top(scan(probed.where("probe_rank = 1"), refs, d), k).select("qid", "rank", "ref_id", "dist", "is_fraud"))
     bound = first.where(F.col("rank") == k).select(F.col("qid").alias("_qid"), F.col("dist").alias("_bound"))
     gap = F.sqrt("dc") - F.col("radius")
     far = (gap > 0) & (gap * gap > F.col("_bound"))
@@ -77,6 +82,6 @@ def pruned_probes(probed: DataFrame, refs: DataFrame, k: int, d: int | None = No
 
 def ivf_knn_pruned(refs: DataFrame, centroids: DataFrame, queries: DataFrame, nprobe: int, k: int = 5, d: int | None = None) -> DataFrame:
     """The same result as :func:`ivf_knn`; cells that cannot change it are not scanned. Radii must bound the references given."""
-    first, later = pruned_probes(probes(queries, centroids, nprobe, d), refs, k, d)
-    both = first.select("qid", "ref_id", "is_fraud", "dist").unionByName(_scan(later, refs, d))
+    first, later = pruned_probes(materialized(probes(queries, centroids, nprobe, d)), refs, k, d)
+    both = first.select("qid", "ref_id", "is_fraud", "dist").unionByName(scan(materialized(later), refs, d))
     return top(both, k).select("qid", "rank", "ref_id", "dist", "is_fraud")

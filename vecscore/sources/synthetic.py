@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,25 @@ from ..functions.sequence import gaussian
 from .schemas import DIMENSIONS
 
 
+def timestamps(year: int = 2027, leap: int = 2028) -> list[str]:
+    """Texts in and around the strict format, by rule: fields at, below and above their ranges, days at the ends of months, signs and lengths off by one."""
+    text = "{:04}-{:02}-{:02}T{:02}:{:02}:{:02}Z"
+    middle = [year, 6, 18, 9, 41, 27]
+    out = [text.format(*middle)]
+    for field, (low, high) in enumerate([(1, 12), (1, 30), (0, 23), (0, 59), (0, 59)], 1):
+        out += [text.format(*middle[:field], v, *middle[field + 1 :]) for v in (low - 1, low, high, high + 1) if v >= 0]
+    for y in (year, leap, 1900, 2000):
+        for month in range(1, 13):
+            days = calendar.monthrange(y, month)[1]
+            out += [text.format(y, month, day, *middle[3:]) for day in (days, days + 1)]
+    base = out[0]
+    signs = [i for i, c in enumerate(base) if not c.isdigit()]
+    out += [base[:i] + c + base[i + 1 :] for i in signs for c in " -:T" if c != base[i]]
+    out += [base[:i] + base[i + 1 :] for i in range(len(base))] + [base[:i] + "0" + base[i:] for i in (0, 5, 8, 11, 14, 17)]
+    out += [base[:i] + "o" + base[i + 1 :] for i in range(len(base)) if i not in signs] + [base + c for c in ("Z", " ", "0")] + [c + base for c in " +-"] + [""]
+    return sorted(set(out))
+
+
 def _uniform(seed: int, *parts: Column) -> Column:
     """A number in (0, 1) that depends on the seed and the parts only."""
     h = F.pmod(F.xxhash64(F.lit(seed).cast("long"), *parts), F.lit(1 << 40).cast("long"))

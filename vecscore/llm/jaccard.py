@@ -19,11 +19,12 @@ segments would hold too few tokens skip it.
 What even this leaves are documents that share much with many unlike ones, such as copies of one text with more
 changes than the threshold allows. The ones of a band are a group. A group of at most SMALL members is compared by
 parities in one task. A larger one is described by its *base*, the tokens that most members of a sample have, and by
-what each member differs from it. Two linked members either share a difference, then one of the first H_g + 1 in a
-fixed order, or none, and then both link with the member that is cheapest by its differences, x extra and y missing
+what each member differs from it. Two linked members either share a difference, then one of their H_g + 1
+rarest in the group, or none, and then both link with the member that is cheapest by its differences, x extra and y missing
 tokens: with a = (1 - t) / (1 + t) sets of disjoint differences link if and only if their costs, (1 - a) x + (1 + a) y, are
 together at most 2 a |base|. So that member is compared with all others, and the members that share a difference are
-the next groups. A difference is what fewer than half have, so groups halve. That is exact for any base.
+the next groups. A difference is what fewer than half have, so groups halve; and a member with so many differences of
+its own that no other can be similar enough is done. That is exact for any base.
 
 Candidates are not all pairs of those that share a subset. The group's smallest member is compared with all
 others, links are merged to components, and only what is still in different components goes on: members outside the
@@ -53,7 +54,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -74,7 +75,7 @@ WIDE = 3
 #: Tokens that a segment of the second index should hold on average; where it would be fewer, a band has none.
 FULL = 4
 #: Members of a group, about, whose majority makes its base; and members up to which a group is compared in one task.
-SAMPLE, SMALL = 64, 256
+SAMPLE, SMALL = 64, 1024
 _U = np.uint64
 
 
@@ -495,7 +496,24 @@ class Merger:
             centres = seen.groupBy("key").agg(F.min(F.struct("cost", "node", "label")).alias("_c")).select("key", F.col("_c.node").alias("b"), F.col("_c.label").alias("_lb"))
             pairs = self._with(seen.select("key", F.col("node").alias("a"), "label"), centres, "key", n, "a").where("label <> _lb").select("a", "b")
             self.add(*self.scratch.cut_and_count(pairs.distinct()))
-            groups, n = self.scratch.cut_and_count(seen.select(F.explode("hashes").alias("hash"), "node"))
+            each, n = self.scratch.cut_and_count(seen.select("key", "node", "n", F.explode("differences").alias("_d")).select("key", "node", "n", "_d.hash", "_d.extra"))
+            groups, n = self.scratch.cut_and_count(self._rarest(each, n, bands))
+
+    def _rarest(self, each: DataFrame, n: int, bands: Bands) -> DataFrame:
+        """(hash, node): the rarest H + 1 differences of each member, if others have them too and the member can have a partner at all.
+
+        Of (key, node, n, hash, extra). With e tokens that only it has and m that only it lacks, a set of n tokens has none above (n - e) / (n + m).
+        """
+        counted = self._with(each, each.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")), "hash", n, "node")
+        member = Window.partitionBy("key", "node")
+        ranked = counted.withColumns({
+            "_at": F.row_number().over(member.orderBy("_n", "hash")),
+            "_has": F.count_if((F.col("_n") == 1) & F.col("extra")).over(member),
+            "_lacks": F.count_if((F.col("_n") == 1) & ~F.col("extra")).over(member),
+        })
+        most = F.element_at(F.array(*[F.lit(h + 1) for h in bands.differ]), (F.expr("hash & 255L") + 1).cast("int"))
+        able = 100 * (F.col("n") - F.col("_has")) >= bands.percent * (F.col("n") + F.col("_lacks"))
+        return ranked.where((F.col("_n") > 1) & (F.col("_at") <= most) & able).select("hash", "node")
 
 
 def _near(few: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -529,20 +547,24 @@ def _bases(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _differences(based: DataFrame, bands: Bands) -> DataFrame:
-    """(key, node, label, cost, hashes) of (g, key, node, label, base, tokens): hashes of the first H + 1 differences."""
+    """(key, node, label, n, cost, differences) of (g, key, node, label, base, tokens): hashes of what a member has beyond the base, or lacks of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            cost, hashes = [], []
+            cost, sizes, hashes, extras, ends = [], [], [], [], [0]
             for g, key, base, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5)):
                 base, own = np.frombuffer(base or b"", np.uint64), np.frombuffer(raw.as_buffer(), np.uint64)
                 extra, missing = np.setdiff1d(own, base, True), np.setdiff1d(base, own, True)
                 cost.append(2 * bands.percent * len(extra) + 200 * len(missing))
-                first = np.sort(_mixed(np.concatenate((extra, missing))))[: bands.differ[g] + 1]
-                hashes.append(_signed(first, np.array([key], np.int64).view(np.uint64), g).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(cost, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "node", "label", "cost", "hashes"])
-
-    return based.select("g", "key", "node", "label", "base", "tokens").mapInArrow(run, "key bigint, node bigint, label bigint, cost bigint, hashes array<bigint>")
+                sizes.append(len(own))
+                hashes.append(_signed(_mixed(np.concatenate((extra, missing))), np.array([key], np.int64).view(np.uint64), g).view(np.int64))
+                extras.append(np.arange(len(hashes[-1])) < len(extra))
+                ends.append(ends[-1] + len(hashes[-1]))
+            each = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(extras))], ["hash", "extra"])
+            differences = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(sizes, pa.int64()), pa.array(cost, pa.int64()), differences], ["key", "node", "label", "n", "cost", "differences"])
+
+    return based.select("g", "key", "node", "label", "base", "tokens").mapInArrow(run, "key bigint, node bigint, label bigint, n bigint, cost bigint, differences array<struct<hash: bigint, extra: boolean>>")
 
 
 _SET = "node bigint, g bigint, n bigint, tokens binary"

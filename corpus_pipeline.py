@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vecscore.llm import bpe, jaccard, lines, mixing, quality
-from vecscore.llm.common import removed, shared_path, stored, table
+from vecscore.llm.common import table
+from vecscore.sources.shared import removed, shared_path, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,14 +54,22 @@ def _at_end(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def clean_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Actions inside leave no shuffle files behind; the session's own setting comes back."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Actions inside run under these settings (dots written as two underscores); the session's own come back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
     try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def clean_shuffles(spark: SparkSession):
+    """Actions inside leave no shuffle files behind."""
+    return settings(spark, **{_CLEANUP.replace(".", "__"): "true"})
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -8,11 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialized, removed, shared_path, stored
+from ..sources.shared import materialized, settings, shared_path, stored, removed
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Arrow batches of texts stay small, in rows and bytes.
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000", "spark__sql__execution__arrow__maxBytesPerBatch": str(8 << 20)}
 #: Slim rows that one task may hold.
 ONE_TASK = 500_000
 #: Rows of one key that a task may hold in a join, at least; and keys that may have more, at most.
@@ -30,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return materialized(df, "cut")
 
 
+def worked_off(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`cut`, for what Python makes of whole texts: small batches go to it, which a result computed later could not have
+    without a change to its session."""
+    with settings(df.sparkSession, **SMALL_BATCHES):
+        return materialized(df, name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that what Python makes of one stays small."""
     for b in batches:

@@ -58,18 +58,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.shared import clean_shuffles, shared_path, stored
-from .common import ONE_TASK, Scratch, met, row_of, slices, tie_of, unpacked
+from ..sources.shared import clean_shuffles, settings, shared_path, stored
+from .common import ONE_TASK, SMALL_BATCHES, Scratch, met, row_of, slices, tie_of, unpacked
 from .graph import components
 
 #: Subset hashes in one range, at about one for every 16 bytes of text.
-RANGE = 500_000
+RANGE = 250_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members outside the largest component up to which a group is finished at once; rounds for larger ones.
 FEW, ROUNDS = 8, 1
 #: Subset hashes a task buffers; documents of one subset among them that it joins itself.
-_FLUSH, LOCAL = 1_000_000, 8
+_FLUSH, LOCAL = 400_000, 8
 #: Differences up to which a band's first index takes one-deletion neighbourhoods: sets of about twenty tokens.
 WIDE = 3
 #: Tokens that a segment of the second index should hold on average; where it would be fewer, a band has none.
@@ -259,7 +259,7 @@ def _index(rows: DataFrame, words: int, bands: Bands, ranges: int) -> DataFrame:
                     held += len(found)
                     if spare < 0:
                         sparse.append((node, g))
-            docs.append(pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], ["doc_id", "node", "n"]))
+            docs.append(pa.RecordBatch.from_arrays([*(pa.array(c.to_pylist(), c.type) for c in b.columns[:2]), pa.array(sizes, pa.int64())], ["doc_id", "node", "n"]))
             if held > _FLUSH:
                 yield from flush()
                 held = 0
@@ -511,7 +511,7 @@ class Merger:
             "_has": F.count_if((F.col("_n") == 1) & F.col("extra")).over(member),
             "_lacks": F.count_if((F.col("_n") == 1) & ~F.col("extra")).over(member),
         })
-        most = F.element_at(F.array(*[F.lit(h + 1) for h in bands.differ]), (F.expr("hash & 255L") + 1).cast("int"))
+        most = F.element_at(F.array(*[F.lit(min(h, 1 << 62) + 1) for h in bands.differ]), (F.expr("hash & 255L") + 1).cast("int"))
         able = 100 * (F.col("n") - F.col("_has")) >= bands.percent * (F.col("n") + F.col("_lacks"))
         return ranked.where((F.col("_n") > 1) & (F.col("_at") <= most) & able).select("hash", "node")
 
@@ -601,7 +601,7 @@ def _second(left: DataFrame, bands: Bands) -> DataFrame:
 def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, node, label) for each row of ``docs`` (doc_id, text); a label names a component."""
     spark, bands = docs.sparkSession, Bands(percent)
-    with clean_shuffles(spark):
+    with clean_shuffles(spark), settings(spark, **SMALL_BATCHES):
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         ranges = max(8, size // 16 // RANGE + 1)
         scratch, own = Scratch(spark), nodes_of(docs)

@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from ..sources.shared import settings
+from .common import SMALL_BATCHES, slices, worked_off
 
 NGRAM = 3
 BITS = 14
@@ -119,7 +120,9 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
 
     counts = rows.mapInArrow(run, "bucket int, raw bigint, trusted bigint").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted"))
     raw, good = np.zeros(KINDS * BUCKETS), np.zeros(KINDS * BUCKETS)
-    for k, r, t in counts.collect():  # KINDS * BUCKETS rows at most
+    with settings(docs.sparkSession, **SMALL_BATCHES):
+        sums = counts.collect()  # KINDS * BUCKETS rows at most
+    for k, r, t in sums:
         raw[k], good[k] = r, t
     if not good.any():
         return np.zeros(KINDS * BUCKETS)
@@ -131,7 +134,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
     return np.concatenate([ratio(good[k], raw[k], smooth / n) for k, n in ((slice(i * BUCKETS, (i + 1) * BUCKETS), n) for i, n in enumerate(BYTES))])
 
 
-def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 5_000.0) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 1_000_000, smooth: float = 5_000.0) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score) for each row of ``docs`` (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, trusted_docs, smooth))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -142,10 +145,11 @@ def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_do
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, n.T.copy()), pa.array(failed), pa.array(kept), pa.array(score)], ["doc_id", *names, "base_failed", "kept", "score"])
 
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, kept boolean, score double")
+    made = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{x} bigint' for x in names)}, base_failed boolean, kept boolean, score double")
+    return worked_off(made, "rated")
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 50_000, smooth: float = 5_000.0) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 1_000_000, smooth: float = 5_000.0) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they were."""
     sent = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, trusted_docs, smooth))
     at = docs.columns.index("text")
@@ -155,7 +159,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_do
         for b in slices(batches):
             yield b.filter(pa.array(verdicts(b.column(at).to_pylist(), sent.value, threshold)[2]))
 
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return worked_off(rows.mapInArrow(run, rows.schema), "kept").toDF(*docs.columns)
 
 
 def verdicts(texts: list[str | None], ratio: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

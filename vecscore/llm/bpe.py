@@ -39,7 +39,7 @@ from .common import slices, worked_off
 
 WINDOW = 1 << 17
 #: Bytes, about, that each of the two generations of a memo of merged pre-tokens may hold, and characters of what it keeps.
-MEMO, KEPT = 32 << 20, 64
+MEMO, KEPT = 96 << 20, 64
 #: The pre-tokenizer's pattern (fixed value of the byte-level BPE format).
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A pre-token ends before each match: a letter, digit or black run is over there, whatever follows.

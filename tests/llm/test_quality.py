@@ -66,14 +66,13 @@ def test_ratio(spark):
                 raw[k, int(b)] += 1
                 good[k, int(b)] += i == 1
     p = (raw + 1) / (raw.sum(1, keepdims=True) + Q.BUCKETS)
-    by = 5 / np.array(Q.BYTES)[:, None]
-    want = np.log((good + by * p) / (good.sum(1, keepdims=True) + by)) - np.log(p)
+    want = np.log((good + 5 * p) / (good.sum(1, keepdims=True) + 5)) - np.log(p)
     assert got == pytest.approx(want.ravel())
     score = Q.verdicts(["aaab b b", None, "aa"], got, 0.0)[3]
-    assert score[1] == 0 and score[2] == pytest.approx(want[1, int(Q.word_grams([b"aa"])[0][0])] / 3)
+    assert score[1] == 0 and score[2] == pytest.approx(want[1, int(Q.word_grams([b"aa"])[0][0])] * Q.WEIGHTS[1])
     mean = lambda k, own: np.mean([want[k, int(b)] for b in own])
     w = b"aaab b b".split()
-    assert score[0] == pytest.approx((mean(0, Q.grams(b"aaab b b")) + mean(1, Q.word_grams(w)[0]) + mean(2, Q.word_grams(w)[1])) / 3)
+    assert score[0] == pytest.approx(np.dot(Q.WEIGHTS, [mean(0, Q.grams(b"aaab b b")), mean(1, Q.word_grams(w)[0]), mean(2, Q.word_grams(w)[1])]))
 
 
 def test_all_trusted_documents_count(spark):

@@ -2,8 +2,8 @@
 
 Byte n-grams of NGRAM bytes and word n-grams of one and two words are hashed to BUCKETS each. Each kind has two
 multinomials: one counted over every document (raw), one over trusted ones, ids that ``labels`` gives quality 1. The
-score of a document is the mean over its n-grams of a kind of log p_trusted - log p_raw, averaged over the kinds, so
-length does not matter; a document is kept if it passes the base rules and its score is at least ``threshold``. The
+score of a document is the mean over its n-grams of a kind of log p_trusted - log p_raw, the kinds weighted by
+WEIGHTS, so length does not matter; a document is kept if it passes the base rules and its score is at least ``threshold``. The
 trusted multinomial is drawn towards the raw one by ``smooth`` bytes of it, so a small trusted corpus says little
 about what it has not seen. The threshold is fixed, so the verdict depends on the document and the multinomials only.
 
@@ -32,9 +32,9 @@ from .common import SMALL_BATCHES, slices, worked_off
 NGRAM = 3
 BITS = 14
 BUCKETS = 1 << BITS
-#: Kinds of n-grams: bytes, single words, pairs of words; and the bytes of text for each n-gram of a kind, about.
+#: Kinds of n-grams: bytes, single words, pairs of words; and what each counts for. Bytes say most about words not seen before.
 KINDS = 3
-BYTES = (1, 6, 6)
+WEIGHTS = (0.6, 0.2, 0.2)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Fixed values of the base rules.
 SPACES, SYMBOLS, SPAN, LEAST_WORDS, REPEAT_PERCENT = b" \t\n\x0b\x0c\r", b"#*$%&|<>", 8, 20, 30
@@ -131,7 +131,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, trusted_docs: int, smooth: flo
         p = (raw + 1) / (raw.sum() + len(raw))
         return np.log((good + smooth * p) / (good.sum() + smooth)) - np.log(p)
 
-    return np.concatenate([ratio(good[k], raw[k], smooth / n) for k, n in ((slice(i * BUCKETS, (i + 1) * BUCKETS), n) for i, n in enumerate(BYTES))])
+    return np.concatenate([ratio(good[k], raw[k], smooth) for k in (slice(i * BUCKETS, (i + 1) * BUCKETS) for i in range(KINDS))])
 
 
 def rate(docs: DataFrame, labels: DataFrame, threshold: float = -0.3, trusted_docs: int = 1_000_000, smooth: float = 5_000.0) -> DataFrame:
@@ -169,7 +169,7 @@ def verdicts(texts: list[str | None], ratio: np.ndarray, threshold: float) -> tu
         raw = (text or "").encode()
         words = raw.split()
         counts.append(base(text or "", raw, words))
-        scores.append(float(sum(ratio[g].mean() for g in every_gram(raw, words) if len(g)) / KINDS))
+        scores.append(float(sum(w * ratio[g].mean() for w, g in zip(WEIGHTS, every_gram(raw, words)) if len(g))))
     n, score = np.array(counts, np.int64).reshape(-1, 5), np.array(scores, np.float64)
     failed = (n[:, 0] < LEAST_WORDS) | (100 * n[:, 4] > REPEAT_PERCENT * n[:, 0])
     return n, failed, ~failed & (score >= threshold), score

@@ -45,7 +45,8 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["qid", "fraud_count", "fraud_score", "approved"]
 
 
-def test_lives_without_the_training_data_part(tmp_path):
-    shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_lives_without_the_training_data_part(tmp_path, gone):
+    shutil.copytree(REPO, tmp_path / "r", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'knn_exact_score' in q and not [n for n in q if n.startswith('op')] and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})

@@ -458,9 +458,22 @@ class Merger:
         merged = components(both.select(F.col("_a").alias("a"), F.col("_b").alias("b")), self.scratch).select(F.col("node").alias("label"), F.col("label").alias("_new"))
         self.labels = self.scratch.cut(self._with(self.labels, merged, "label", self.n, "node", "left").select("node", F.coalesce("_new", "label").alias("label")))
 
+    def _alike(self, groups: DataFrame) -> DataFrame:
+        """(hash, _like): for each hash of two members or more the smallest hash of its band that has the same members.
+
+        Documents that agree on a segment agree on all its one-deletion neighbourhoods, so many groups are one group.
+        Members are told by their number, the smallest, the largest, and two sums of 31 bits of each.
+        """
+        sums = {f"_s{k}": F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(k)), 33)) for k in (1, 2)}
+        told = {"_n": F.count(F.lit(1)), "_least": F.min("node"), "_most": F.max("node"), **sums}
+        each = groups.groupBy("hash").agg(*[c.alias(k) for k, c in told.items()]).where("_least < _most")
+        like = F.min("hash").over(Window.partitionBy(F.expr("hash & 255L"), *told))
+        return self.scratch.cut(each.select("hash", like.alias("_like")))
+
     def work_off(self, groups: DataFrame, n: int, rounds: int) -> DataFrame:
         """Compare members of each group (hash, node) across labels; what is still split after ``rounds`` comes back."""
-        done = 0
+        done, same = 0, self._alike(groups)
+        groups, n = self.scratch.cut_and_count(self._with(groups, same.where("hash = _like").select("hash"), "hash", n, "node", "left_semi"))
         while True:
             at = groups.join(self.labels, "node")
             sizes = at.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_least"))
@@ -469,7 +482,7 @@ class Merger:
             ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), F.col("_low.label").alias("_lc"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
             open_, n = self.scratch.cut_and_count(self._with(at, split, "hash", n, "node"))
             if not n or done >= rounds:
-                return open_.select("hash", "node")
+                return self._with(open_, same.select(F.col("_like").alias("hash"), F.col("hash").alias("_each")), "hash", n, "node").select(F.col("_each").alias("hash"), "node")
             done += 1
             outside = open_.where("_few and label <> _main").select("hash", F.col("node").alias("_u"), F.col("label").alias("_lu"))
             few = self._with(open_.where("_few"), outside, "hash", n, "node").where("label <> _lu and (label = _main or node < _u)").select(F.col("node").alias("a"), F.col("_u").alias("b"))
@@ -496,24 +509,25 @@ class Merger:
             centres = seen.groupBy("key").agg(F.min(F.struct("cost", "node", "label")).alias("_c")).select("key", F.col("_c.node").alias("b"), F.col("_c.label").alias("_lb"))
             pairs = self._with(seen.select("key", F.col("node").alias("a"), "label"), centres, "key", n, "a").where("label <> _lb").select("a", "b")
             self.add(*self.scratch.cut_and_count(pairs.distinct()))
-            each, n = self.scratch.cut_and_count(seen.select("key", "node", "n", F.explode("differences").alias("_d")).select("key", "node", "n", "_d.hash", "_d.extra"))
+            each, n = self.scratch.cut_and_count(seen.select("key", "node", "room", F.size("differences").alias("all"), F.explode("differences").alias("_d")).select("key", "node", "room", "all", "_d.hash", "_d.extra"))
             groups, n = self.scratch.cut_and_count(self._rarest(each, n, bands))
 
     def _rarest(self, each: DataFrame, n: int, bands: Bands) -> DataFrame:
         """(hash, node): the rarest H + 1 differences of each member, if others have them too and the member can have a partner at all.
 
-        Of (key, node, n, hash, extra). With e tokens that only it has and m that only it lacks, a set of n tokens has none above (n - e) / (n + m).
+        Of (key, node, room, all, hash, extra), all being a member's number of differences. With e tokens that only it has and
+        m that only it lacks, a set of n tokens has none above (n - e) / (n + m); room is 100 (n - e) - percent (n + m) as if
+        that held for all its differences. Those that nobody shares are the rarest and are not joined, only counted.
         """
-        counted = self._with(each, each.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")), "hash", n, "node")
+        shared = each.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
         member = Window.partitionBy("key", "node")
-        ranked = counted.withColumns({
+        ranked = self._with(each, shared, "hash", n, "node").withColumns({
             "_at": F.row_number().over(member.orderBy("_n", "hash")),
-            "_has": F.count_if((F.col("_n") == 1) & F.col("extra")).over(member),
-            "_lacks": F.count_if((F.col("_n") == 1) & ~F.col("extra")).over(member),
+            "_shared": F.count(F.lit(1)).over(member),
+            "_won": F.sum(F.when(F.col("extra"), 100).otherwise(bands.percent)).over(member),
         })
         most = F.element_at(F.array(*[F.lit(min(h, 1 << 62) + 1) for h in bands.differ]), (F.expr("hash & 255L") + 1).cast("int"))
-        able = 100 * (F.col("n") - F.col("_has")) >= bands.percent * (F.col("n") + F.col("_lacks"))
-        return ranked.where((F.col("_n") > 1) & (F.col("_at") <= most) & able).select("hash", "node")
+        return ranked.where((F.col("all") - F.col("_shared") + F.col("_at") <= most) & (F.col("room") + F.col("_won") >= 0)).select("hash", "node")
 
 
 def _near(few: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -547,24 +561,24 @@ def _bases(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _differences(based: DataFrame, bands: Bands) -> DataFrame:
-    """(key, node, label, n, cost, differences) of (g, key, node, label, base, tokens): hashes of what a member has beyond the base, or lacks of it."""
+    """(key, node, label, room, cost, differences) of (g, key, node, label, base, tokens): hashes of what a member has beyond the base, or lacks of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            cost, sizes, hashes, extras, ends = [], [], [], [], [0]
+            cost, room, hashes, extras, ends = [], [], [], [], [0]
             for g, key, base, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5)):
                 base, own = np.frombuffer(base or b"", np.uint64), np.frombuffer(raw.as_buffer(), np.uint64)
                 extra, missing = np.setdiff1d(own, base, True), np.setdiff1d(base, own, True)
                 cost.append(2 * bands.percent * len(extra) + 200 * len(missing))
-                sizes.append(len(own))
+                room.append(100 * (len(own) - len(extra)) - bands.percent * (len(own) + len(missing)))
                 hashes.append(_signed(_mixed(np.concatenate((extra, missing))), np.array([key], np.int64).view(np.uint64), g).view(np.int64))
                 extras.append(np.arange(len(hashes[-1])) < len(extra))
                 ends.append(ends[-1] + len(hashes[-1]))
             each = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(extras))], ["hash", "extra"])
             differences = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(sizes, pa.int64()), pa.array(cost, pa.int64()), differences], ["key", "node", "label", "n", "cost", "differences"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(room, pa.int64()), pa.array(cost, pa.int64()), differences], ["key", "node", "label", "room", "cost", "differences"])
 
-    return based.select("g", "key", "node", "label", "base", "tokens").mapInArrow(run, "key bigint, node bigint, label bigint, n bigint, cost bigint, differences array<struct<hash: bigint, extra: boolean>>")
+    return based.select("g", "key", "node", "label", "base", "tokens").mapInArrow(run, "key bigint, node bigint, label bigint, room bigint, cost bigint, differences array<struct<hash: bigint, extra: boolean>>")
 
 
 _SET = "node bigint, g bigint, n bigint, tokens binary"

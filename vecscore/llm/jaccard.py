@@ -480,9 +480,10 @@ class Merger:
             split = sizes.groupBy("hash").agg(
                 F.max(F.struct("_n", "label")).alias("_top"), F.min(F.struct("_n", "label", "_least")).alias("_low"), F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds")
             ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), F.col("_low.label").alias("_lc"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
-            open_, n = self.scratch.cut_and_count(self._with(at, split, "hash", n, "node"))
             if not n or done >= rounds:
-                return self._with(open_, same.select(F.col("_like").alias("hash"), F.col("hash").alias("_each")), "hash", n, "node").select(F.col("_each").alias("hash"), "node")
+                each = same.select(F.col("_like").alias("hash"), F.col("hash").alias("_each")).join(split.select("hash"), "hash")
+                return self._with(groups, each, "hash", n, "node").select(F.col("_each").alias("hash"), "node")
+            open_, n = self.scratch.cut_and_count(self._with(at, split, "hash", n, "node"))
             done += 1
             outside = open_.where("_few and label <> _main").select("hash", F.col("node").alias("_u"), F.col("label").alias("_lu"))
             few = self._with(open_.where("_few"), outside, "hash", n, "node").where("label <> _lu and (label = _main or node < _u)").select(F.col("node").alias("a"), F.col("_u").alias("b"))

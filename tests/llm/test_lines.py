@@ -60,3 +60,18 @@ def test_equal_rows_and_null_ids(spark):
 
 def test_empty(spark):
     assert lines.dedup(docs(spark, [])).collect() == [] and lines.dedup_documents(docs(spark, [])).collect() == []
+
+
+def test_only_texts_that_lose_lines_move(spark, monkeypatch):
+    """Whatever the size: a join with all texts would shuffle the whole input as soon as it is too large to broadcast."""
+    rows = [(i, f"a {i}\nb {i}\nc {i}\nd {i}") for i in range(400)] + [(1000 + i, f"x\na {i}\nb {i}\nc {i}\ny") for i in range(20)] + [(None, "a 1\nb 1\nc 1"), (2000, None)]
+    table = docs(spark, rows)
+    lost = lines.covered(table)
+    marked = lines._marked(table, lost)
+    keys = {(r._id, r._hash) for r in lost.collect()}
+    got = {(r.doc_id, r._key): r._maybe for r in marked.collect()}
+    assert len(keys) == 21 and all(got[k] for k in keys) and sum(got.values()) < 30
+    monkeypatch.setattr(lines, "PLACES", 8)  # far too few bits: more texts move, the result is the same
+    monkeypatch.setattr(lines, "MOST", 1)
+    want = brute([(i if i is not None else -1, t) for i, t in rows])
+    assert {(-1 if r.doc_id is None else r.doc_id): (r.n_lines, r.n_removed, r.text) for r in lines.dedup(table).collect()} == want

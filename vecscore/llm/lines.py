@@ -7,7 +7,8 @@ others are covered, and a document loses the union of the lines its covered wind
 A removed line always has a copy earlier in that order, and the earliest copy of all stays.
 
 A window's count and first occurrence are aggregated map-side, so a window that a third of the documents hold makes one row per
-task; the join back is by an equi-join whose hot keys Spark splits. Texts move once, to meet their covered positions.
+task; the join back is by an equi-join whose hot keys Spark splits. Only texts that lose lines, and a few others, move to meet
+their covered positions: which, bitmaps of the keys of such documents tell, which are broadcast. The rest stay where they are read.
 
 Nulls: a null text has no lines and stays null; a null id sorts first. Rows equal in id and text are one document
 here: none is the other's later occurrence, each gets the same result. Texts of fewer than WINDOW lines
@@ -24,6 +25,8 @@ from ..sources.shared import removed, shared_path, stored
 from .common import cut
 
 WINDOW = 3
+#: Bits of a bitmap, as Spark's bitmap_construct_agg makes them; bits for each key; bitmaps at most (4 KB each).
+PLACES, BITS, MOST = 32_768, 32, 8192
 _HAS_WORD = r"[^\\x20\\x09-\\x0D]"
 
 
@@ -49,11 +52,29 @@ def covered(docs: DataFrame) -> DataFrame:
     return found
 
 
+def _marked(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` with _key and _maybe: true for all documents that lose lines, and for few others.
+
+    Keys are marked in bitmaps of PLACES bits each, BITS of these for each key, which are broadcast: 4 bytes a key, MOST of them at
+    most. Beyond that more documents than need be are marked, and so move, which changes no result.
+    """
+    maps = max(1, min(MOST, -(-lost.count() * BITS // PLACES)))
+    mark = lambda i, key: F.pmod(F.xxhash64(i, key), F.lit(maps * PLACES))
+    own = lost.select(mark("_id", "_hash").alias("_m"))
+    bits = own.groupBy(F.expr(f"cast(_m div {PLACES} as int)").alias("_map")).agg(F.expr(f"bitmap_construct_agg(_m % {PLACES})").alias("_bits"))
+    df = docs.withColumn("_key", F.xxhash64("text")).withColumn("_m", mark("doc_id", "_key"))
+    df = df.join(F.broadcast(bits), F.expr(f"cast(_m div {PLACES} as int)") == F.col("_map"), "left")
+    byte = F.expr(f"cast(conv(hex(substring(_bits, cast(_m % {PLACES} div 8 as int) + 1, 1)), 16, 10) as int)")
+    return df.withColumn("_maybe", F.coalesce(F.getbit(byte, (F.col("_m") % 8).cast("int")) == 1, F.lit(False))).drop("_m", "_map", "_bits")
+
+
 def _rebuilt(docs: DataFrame) -> DataFrame:
     """``docs`` with _n_lines, _n_removed and _new, the text that is left."""
     lost = covered(docs)
-    df = docs.withColumn("_key", F.xxhash64("text")).join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left")
-    df = _lines(df)
+    df = _marked(docs, lost)
+    # A hint, so that small tables move what large ones do.
+    moved = df.where("_maybe").join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_hash")), "left").drop("_id", "_hash")
+    df = _lines(moved.unionByName(df.where("not _maybe").withColumn("_pos", F.lit(None).cast(lost.schema["_pos"].dataType))))
     gone = f"array_distinct(flatten(transform(_pos, p -> array({', '.join(f'p + {k}' for k in range(WINDOW))}))))"
     df = df.withColumn("_stay", F.expr(f"case when _pos is not null then array_except(sequence(0, size(_at) - 1), {gone}) end"))
     kept = "flatten(transform(_stay, j -> slice(_l, _at[j] + 1, coalesce(get(_at, j + 1), size(_l)) - _at[j])))"

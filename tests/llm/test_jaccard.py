@@ -230,3 +230,18 @@ def test_components(spark):
     out = {r.node: r.label for r in graph.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
     assert out == {**dict.fromkeys(range(31), 0), 100: 0, 200: 200, 201: 200, 202: 200}
     scratch.close()
+
+
+def test_bitmaps_hold_all_hashes_and_few_others(spark, monkeypatch):
+    """Common hashes reach the tasks as a bitmap of bounded size, not as a row for each member of each group."""
+    r = np.random.default_rng(1)
+    own, other = (r.integers(-(1 << 63), 1 << 63, 5000) for _ in range(2))
+    table = spark.createDataFrame([(int(h),) for h in own], "hash long")
+    bits = J._bitmap(table, 5000)
+    assert J._in_bitmap(bits, own).all() and J._in_bitmap(bits, other).mean() < 0.1
+    rows = spark.createDataFrame([(int(h), i) for i, h in enumerate([*own[:50], *other[:50]])], "hash long, node long")
+    kept = {x.node for x in J._those_in(rows, bits).collect()}
+    assert kept >= set(range(50)) and len(kept) < 70
+    assert {(x.node, x.g) for x in J._members(rows, bits).collect()} >= {(i, int(h) & 255) for i, h in enumerate(own[:50])}
+    monkeypatch.setattr(J, "PARTS", 1)  # a bitmap that is too small tells less, and loses none
+    assert J._in_bitmap(J._bitmap(table, 1 << 40), own).all() and not J._in_bitmap(J._bitmap(table.limit(0), 0), own).any()

@@ -29,7 +29,7 @@ its own that no other can be similar enough is done. That is exact for any base.
 Candidates are not all pairs of those that share a subset. The group's smallest member is compared with all
 others, links are merged to components, and only what is still in different components goes on: members outside the
 largest component, if few, are compared with all others; if many, one from the smallest component is, in ROUNDS
-rounds. A subset still split after them is common. So work per round is linear in the group, no pair is emitted
+rounds. A subset still split after them is common; which are, a bitmap tells each task. So work per round is linear in the group, no pair is emitted
 within a component, and no link between components is lost.
 
 Subset hashes travel packed by hash range; ranges hold a bounded number each, by the input's size. A task first
@@ -76,6 +76,8 @@ WIDE = 3
 FULL = 4
 #: Members of a group, about, whose majority makes its base; and members up to which a group is compared in one task.
 SAMPLE, SMALL = 64, 1024
+#: Bits of a part of a bitmap of hashes, as bitmap_construct_agg makes it; bits for each row of a table of them, and parts at most (32 MB).
+PART, BITS, PARTS = 32_768, 16, 8192
 _U = np.uint64
 
 
@@ -435,6 +437,45 @@ def _sets(rows: DataFrame, words: int, needed: DataFrame, n: int, scratch: Scrat
     return scratch.cut(texts.mapInArrow(run, "node bigint, n bigint, parity binary, tokens binary"), slim=False)
 
 
+def _bitmap(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bits of the hashes in column ``hash``, of which there are ``n`` at most: small enough for the driver and for every task, however many."""
+    places = PART * max(1, min(PARTS, -(-n * BITS // PART)))
+    at = hashes.select(F.pmod(F.shiftrightunsigned("hash", 8), F.lit(places)).alias("_m"))
+    bits = np.zeros(places // 8, np.uint8)
+    for part, got in at.groupBy(F.expr(f"_m div {PART}")).agg(F.expr(f"bitmap_construct_agg(_m % {PART})")).toLocalIterator():
+        bits[part * PART // 8 : (part + 1) * PART // 8] = np.frombuffer(got, np.uint8)
+    return bits
+
+
+def _in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be one of those of :func:`_bitmap`: true for all of them, and for few others."""
+    at = (hashes.view(np.uint64) >> _U(8)) % _U(8 * len(bits))
+    return (bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
+
+
+def _those_in(groups: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows (hash, node) whose hash may be in ``bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_in_bitmap(bits, b.column(0).to_numpy())))
+
+    return groups.select("hash", "node").mapInArrow(run, "hash bigint, node bigint")
+
+
+def _members(groups: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(node, g) of rows (hash, node) whose hash may be in ``bits``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+            keep = _in_bitmap(bits, h)
+            own = np.unique(np.stack([node[keep], h[keep] & 255], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["node", "g"])
+
+    return groups.select("hash", "node").mapInArrow(run, "node bigint, g bigint").distinct()
+
+
 class Merger:
     """Labels of nodes; the groups that share a subset are worked off against it."""
 
@@ -470,10 +511,14 @@ class Merger:
         like = F.min("hash").over(Window.partitionBy(F.expr("hash & 255L"), *told))
         return self.scratch.cut(each.select("hash", like.alias("_like")))
 
-    def work_off(self, groups: DataFrame, n: int, rounds: int) -> DataFrame:
-        """Compare members of each group (hash, node) across labels; what is still split after ``rounds`` comes back."""
-        done, same = 0, self._alike(groups)
-        groups, n = self.scratch.cut_and_count(self._with(groups, same.where("hash = _like").select("hash"), "hash", n, "node", "left_semi"))
+    def work_off(self, groups: DataFrame, n: int, rounds: int) -> np.ndarray:
+        """Compare members of each group (hash, node) across labels; the bitmap of the hashes still split after ``rounds`` comes back.
+
+        Bitmaps hold some other hashes too. A group that is compared though another has the same members only costs, and a
+        hash that counts as common sends documents on that need not go.
+        """
+        done, same, most = 0, self._alike(groups), n
+        groups, n = self.scratch.cut_and_count(_those_in(groups, _bitmap(same.where("hash = _like"), n)))
         while True:
             at = groups.join(self.labels, "node")
             sizes = at.groupBy("hash", "label").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_least"))
@@ -482,7 +527,7 @@ class Merger:
             ).where("_kinds > 1").select("hash", F.col("_top.label").alias("_main"), F.col("_low._least").alias("_centre"), F.col("_low.label").alias("_lc"), (F.col("_all") - F.col("_top._n") <= FEW).alias("_few"))
             if not n or done >= rounds:
                 each = same.select(F.col("_like").alias("hash"), F.col("hash").alias("_each")).join(split.select("hash"), "hash")
-                return self._with(groups, each, "hash", n, "node").select(F.col("_each").alias("hash"), "node")
+                return _bitmap(each.select(F.col("_each").alias("hash")), most)
             open_, n = self.scratch.cut_and_count(self._with(at, split, "hash", n, "node"))
             done += 1
             outside = open_.where("_few and label <> _main").select("hash", F.col("node").alias("_u"), F.col("label").alias("_lu"))
@@ -585,19 +630,18 @@ def _differences(based: DataFrame, bands: Bands) -> DataFrame:
 _SET = "node bigint, g bigint, n bigint, tokens binary"
 
 
-def _going_on(asked: DataFrame, bands: Bands, level: int) -> DataFrame:
-    """Of (node, g, hot, n, tokens), hot being the common hashes, those with more segments at ``level`` that tell nothing than they can spare."""
+def _going_on(asked: DataFrame, bands: Bands, level: int, common: np.ndarray) -> DataFrame:
+    """Of (node, g, n, tokens) those with more segments at ``level`` that tell nothing than they can spare; ``common`` is the bitmap of common hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for g, hot, raw in zip(b.column(1).to_pylist(), b.column(2), b.column(4)):
+            for g, raw in zip(b.column(1).to_pylist(), b.column(3)):
                 spare, hashes, of = level_hashes(np.frombuffer(raw.as_buffer(), np.uint64), bands, g, level)
-                common = np.asarray(hot.values).view(np.uint64)
-                keep.append(spare < 0 or len(common) > spare and len(np.unique(of[np.isin(hashes, common)])) > spare)
-            yield b.select([0, 1, 3, 4]).filter(pa.array(keep, pa.bool_()))
+                keep.append(spare < 0 or len(np.unique(of[_in_bitmap(common, hashes)])) > spare)
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return asked.select("node", "g", "hot", "n", "tokens").mapInArrow(run, _SET)
+    return asked.select("node", "g", "n", "tokens").mapInArrow(run, _SET)
 
 
 def _second(left: DataFrame, bands: Bands) -> DataFrame:
@@ -633,17 +677,14 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
         merger.add(pairs, n_pairs)
         common = merger.work_off(groups, n_groups, ROUNDS)
         # The documents that may have too much in common with others: those with common subsets, and sparse ones.
-        hot = common.groupBy("node", F.expr("hash & 255L").alias("g")).agg(F.collect_list("hash").alias("hot"))
-        asked = hot.join(sparse, ["node", "g"], "full").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)"))).join(merger.check.sets.drop("parity"), "node")
-        left, n = scratch.cut_and_count(_going_on(asked, bands, 0), slim=False)
+        asked = _members(groups, common).union(sparse).distinct().join(merger.check.sets.drop("parity"), "node")
+        left, n = scratch.cut_and_count(_going_on(asked, bands, 0, common), slim=False)
         if n:
             one = scratch.cut(left.where(F.col("g").isin([g for g in range(len(bands.lo)) if bands.second(g)])), slim=False)
             shared, n_shared = scratch.cut_and_count(_second(one, bands))
             common = merger.work_off(shared, n_shared, ROUNDS)
-            hot = common.groupBy("node", F.expr("hash & 255L").alias("g")).agg(F.collect_list("hash").alias("hot"))
-            asked = one.join(hot, ["node", "g"], "left").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)")))
             rest = left.where(~F.col("g").isin([g for g in range(len(bands.lo)) if bands.second(g)]))
-            merger.finish(_going_on(asked, bands, 1).unionByName(rest), bands)
+            merger.finish(_going_on(one, bands, 1, common).unionByName(rest), bands)
         out = stored(_named(found, merger, scratch), shared_path(spark, "joined"))
         scratch.close()
     return out
